@@ -1,13 +1,13 @@
-"""What the training-data operators share: input columns, lineage cuts, distributed ranks."""
+"""What the training-data operators share: their input tables, lineage cuts, ranks."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Iterable
+from pyspark.sql import DataFrame, SparkSession
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from slotwise.functions.ranking import ranked
+from slotwise.sources.shared import cut, shared_dir
+
+__all__ = ["cut", "documents", "labels", "ranked", "shared_dir"]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,49 +16,3 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares for cut lineage: ``spark.checkpoint.dir``.
-
-    Only a local session (tests, one machine) may go without that setting; it then gets a
-    temporary folder. On a cluster a missing setting is an error, since executors don't see
-    each other's local folders.
-    """
-    sc = spark.sparkContext
-    if at := spark.conf.get("spark.checkpoint.dir", None):
-        return at.rstrip("/")
-    own = sc._jsc.sc().getCheckpointDir()
-    if own.isDefined():
-        return own.get().rstrip("/")
-    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-    sc.setCheckpointDir(tempfile.mkdtemp(prefix="slotwise-"))
-    return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """The rows of ``df`` as a Parquet table in the shared folder: lineage ends there, so a
-    lost executor costs a reread and not a recomputation."""
-    at = f"{shared_dir(df.sparkSession)}/slotwise-{uuid.uuid4().hex}"
-    df.write.parquet(at)
-    return df.sparkSession.read.schema(df.schema).parquet(at)
-
-
-def ranked(df: DataFrame, by: Iterable[Column], rank: str = "rank") -> DataFrame:
-    """``df`` with a gapless global ``rank`` from 0 in the order ``by``, and no single-task sort.
-
-    Rows are dealt by sampled ranges and sorted within partitions; the table is cut, so that a
-    rerun can't deal it differently; the offset of each partition, one row each, is then added.
-    """
-    by = list(by)
-    placed = cut(df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_at", F.monotonically_increasing_id()))
-    part = F.shiftright("_at", 33)
-    sizes = sorted((r["p"], r["n"]) for r in placed.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect())
-    offsets, total = [], 0
-    for p, n in sizes:
-        offsets.append((p, total))
-        total += n
-    table = df.sparkSession.createDataFrame(offsets, "_p int, _off long")
-    joined = placed.withColumn("_p", part.cast("int")).join(F.broadcast(table), "_p")  # one row a partition
-    return joined.withColumn(rank, F.col("_off") + F.col("_at").bitwiseAND((1 << 33) - 1)).drop("_at", "_p", "_off")
