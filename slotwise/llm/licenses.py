@@ -107,7 +107,7 @@ norm AS (SELECT doc_id, regexp_replace(lower(coalesce(text, '')), '[^\p{{L}}\p{{
 lined AS (SELECT doc_id, t, string_split(t, chr(10)) AS lines FROM norm),
 units AS (SELECT doc_id, CASE WHEN len(lines) > 1 THEN list_append(lines, replace(t, chr(10), ' ')) ELSE lines END AS us FROM lined),
 unit AS (SELECT doc_id, generate_subscripts(us, 1) - 1 AS unit, string_split(trim(unnest(us)), ' ') AS w FROM units),
-sets AS (SELECT doc_id, unit, list_distinct(list_transform(range(1, len(w)), i -> w[i] || ' ' || w[i + 1])) AS s FROM unit WHERE len(w) > 1),
+sets AS (SELECT doc_id, unit, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS s FROM unit WHERE len(w) > 1),
 dice AS (SELECT doc_id, unit, k, name, 2.0 * len(list_intersect(s, own))::DOUBLE / (len(s) + len(own)) AS dice
          FROM sets JOIN templates ON len(s) >= {threshold / (2 - threshold)!r} * len(own) AND len(s) <= {(2 - threshold) / threshold!r} * len(own)),
 hits AS (SELECT doc_id, count(*) AS n, arg_max(name, struct_pack(d := dice, k := -k)) AS license, max(dice) AS dice,
