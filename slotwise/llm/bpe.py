@@ -49,7 +49,7 @@ def _pieces(path: str) -> tuple[pa.Array, pa.Array]:
     """By id: the decimal id, and the piece."""
     t = tokenizer(path)
     size = max(t.get_vocab(with_added_tokens=True).values()) + 1
-    return pa.array([str(i) for i in range(size)]), pa.array([t.id_to_token(i) or "" for i in range(size)])
+    return pa.array([str(i) for i in range(size)], pa.large_string()), pa.array([t.id_to_token(i) or "" for i in range(size)], pa.large_string())
 
 
 def word_table(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
@@ -133,7 +133,7 @@ def encode_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
 def _whole(ids: np.ndarray, ends: np.ndarray, path: str) -> list[pa.Array]:
     _, decoded = _strings(ids, ends, path)
     parts = [ids[a:b].astype("<u4").tobytes() for a, b in zip(ends, ends[1:])]
-    return [pa.array(parts, pa.binary()), decoded]
+    return [pa.array(parts, pa.binary()), decoded.cast(pa.string())]
 
 
 def _digests(ids: np.ndarray, ends: np.ndarray, path: str) -> list[pa.Array]:
@@ -143,8 +143,8 @@ def _digests(ids: np.ndarray, ends: np.ndarray, path: str) -> list[pa.Array]:
 
 def _strings(ids: np.ndarray, ends: np.ndarray, path: str) -> list[pa.Array]:
     """Of each text, its decimal ids and its pieces, joined by spaces: two joins on the id."""
-    offsets = pa.array(ends, pa.int64())
-    return [pc.binary_join(pa.LargeListArray.from_arrays(offsets, pc.take(by_id, pa.array(ids, pa.int32())).cast(pa.large_string())), " ") for by_id in _pieces(path)]
+    offsets, space, at = pa.array(ends, pa.int64()), pa.scalar(" ", pa.large_string()), pa.array(ids, pa.int32())
+    return [pc.binary_join(pa.LargeListArray.from_arrays(offsets, pc.take(by_id, at)), space) for by_id in _pieces(path)]
 
 
 def _assembled(docs: DataFrame, path: str, id_col: str, text_col: str, schema: str, finish) -> DataFrame:
