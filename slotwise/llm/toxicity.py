@@ -16,7 +16,7 @@ from .quality import fold_of
 #: Bounds of the fit: labelled texts, and voters beside the lexicon.
 FIT_ROWS, MINED = 20_000, 384
 #: A mined voter is in so many unlike toxic texts at least, and so rarely in others.
-SUPPORT, PRECISION = 3, 0.9
+SUPPORT, PRECISION = 5, 0.9
 #: A document is taken to be toxic from this score up.
 TOXIC = 0.7
 
