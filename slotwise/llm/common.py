@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from slotwise.functions.ranking import ranked
 from slotwise.sources.shared import cut, shared_dir
 
-__all__ = ["cut", "documents", "labels", "ranked", "shared_dir"]
+__all__ = ["cut", "documents", "keep_rows", "labels", "ranked", "shared_dir"]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,3 +17,18 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def keep_rows(docs: DataFrame, kept: DataFrame, repeated: bool, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, whole, whose id and text are in ``kept`` (id, h).
+
+    h is xxhash64 of the text (null as empty); null ids match each other. The rows are moved
+    once, by id and hash. If ``repeated``, rows of the same id and text come out once.
+    """
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    keys = docs.withColumn("__id", F.col(id_col).cast("long")).withColumn("__h", F.xxhash64(text))
+    wanted = kept.select(F.col("id").alias("__kept_id"), F.col("h").alias("__kept_h"))
+    found = keys.join(wanted, F.col("__id").eqNullSafe(F.col("__kept_id")) & (F.col("__h") == F.col("__kept_h")), "left_semi")
+    if repeated:
+        found = found.dropDuplicates(["__id", "__h"])
+    return found.drop("__id", "__h")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, keep_rows
 
 #: Parts that the copies of one text may be dealt to, so that no text is too hot for one task.
 SALTS = 1024
@@ -25,22 +25,29 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     doc_id and text) exactly one is ``kept``. An empty table gives an empty result; other
     columns of ``docs`` are ignored, whatever their names.
     """
+    found = _found(docs, id_col, text_col, salts)
+    return found.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.col("sha").alias("text_sha256"))
+
+
+def _found(docs: DataFrame, id_col: str, text_col: str, salts: int) -> DataFrame:
+    """One row per row of ``docs``: id, h (the text's xxhash64), sha, keep_id, group_size, kept."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("t"))
     keyed = rows.select("id", "t", F.substring("t", 1, 16).alias("p"), F.xxhash64("t").alias("h"), F.pmod(F.xxhash64("id"), F.lit(salts)).alias("s"))
     ordered = Window.partitionBy("p", "h", "s").orderBy("t", F.col("id").desc_nulls_last())
-    before = F.lag("t").over(ordered)
-    runs = keyed.repartitionByRange("p", "h", "s").select("id", F.sha2("t", 256).alias("sha"), (before.isNull() | (before != F.col("t"))).alias("head"))
-    # the window is over keys that the range exchange has already brought together
+    before = F.lag("t").over(ordered)  # over keys that the range exchange has already brought together
+    runs = keyed.repartitionByRange("p", "h", "s").select("id", "h", F.sha2("t", 256).alias("sha"), (before.isNull() | (before != F.col("t"))).alias("head"))
     found = cut(runs)
     groups = found.groupBy("sha").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    return found.join(groups, "sha").select(
-        F.col("id").alias("doc_id"),
-        "keep_id",
-        "group_size",
-        (F.col("head") & F.col("id").eqNullSafe(F.col("keep_id"))).alias("kept"),
-        F.col("sha").alias("text_sha256"),
-    )
+    kept = F.col("head") & F.col("id").eqNullSafe(F.col("keep_id"))
+    return found.join(groups, "sha").select("id", "h", "sha", "keep_id", "group_size", kept.alias("kept"))
+
+
+def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS) -> DataFrame:
+    """The rows of ``docs``, whole, that ``exact_dedup`` keeps: one for each distinct text."""
+    found = cut(_found(docs, id_col, text_col, salts).where(F.col("id").eqNullSafe(F.col("keep_id"))).select("id", "h", "kept"))
+    repeated = not found.where("NOT kept").isEmpty()
+    return keep_rows(docs, found.where("kept"), repeated, id_col, text_col)
 
 
 #: DuckDB SQL for the result over ``documents``.

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, keep_rows
 from .components import components
 
 #: A fingerprint has 32 segments of two bits; a segment's bit count is one coordinate.
@@ -45,14 +45,16 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """(doc_id, fp): one row per row of ``docs``, the fingerprint as a signed 64-bit number."""
+    """(doc_id, h, fp): one row per row of ``docs``; h is the text's xxhash64 (null as empty),
+    fp the fingerprint, as signed 64-bit numbers."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
             found = np.array([fingerprint(t, shingle) for t in x["t"].to_pylist()], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([x["doc_id"], pa.array(found)], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([x["doc_id"], x["h"], pa.array(found)], names=["doc_id", "h", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("t")).mapInArrow(of, "doc_id long, fp long")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+    return rows.select("doc_id", F.xxhash64("t").alias("h"), "t").mapInArrow(of, "doc_id long, h long, fp long")
 
 
 def embedded(fp: Column) -> Column:
@@ -182,11 +184,28 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows come out as often as they come in. Other columns are ignored; an empty table gives
     an empty result.
     """
+    found = _grouped(docs, id_col, text_col, shingle, distance)
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, distance: int = 3) -> DataFrame:
+    """The rows of ``docs``, whole, one of each group: that of the smallest doc_id (a null one
+    if there is no other; of several texts with that doc_id, the one of the smallest hash)."""
+    found = cut(_grouped(docs, id_col, text_col, shingle, distance).select("doc_id", "h", "root"))
+    first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id").alias("id"), F.col("h").alias("h")))
+    kept = cut(found.groupBy("root").agg(first.alias("x")).select("x.id", "x.h"))
+    again = found.where(F.col("doc_id").isNotNull()).groupBy("doc_id", "h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    repeated = not again.isEmpty() or not found.where("doc_id IS NULL").isEmpty()
+    return keep_rows(docs, kept, repeated, id_col, text_col)
+
+
+def _grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, distance: int) -> DataFrame:
+    """One row per row of ``docs``: doc_id, h, fp, root (its group), component_id."""
     found = cut(fingerprints(docs, id_col, text_col, shingle))
     distinct = cut(found.groupBy("fp").agg(F.min("doc_id").alias("least")))
     joined = components(links(distinct, distance))
     rooted = distinct.join(joined.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     rooted = cut(rooted)
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    member = cut(rooted.select("fp", "root").join(least, "root").select("fp", "component_id"))
-    return found.join(member, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    member = cut(rooted.select("fp", "root").join(least, "root").select("fp", "root", "component_id"))
+    return found.join(member, "fp").select("doc_id", "h", "fp", "root", "component_id")
