@@ -163,9 +163,9 @@ class Coded:
         digits, fits = self.basis.digits(rank)
         if not fits:
             return self.existence
-        found = self.existence
-        for i in reversed(range(len(digits))):
-            below = self.digit_at_most(i, digits[i] - 1)
+        *upper, last = range(len(digits))
+        found = self.digit_at_most(last, digits[last])
+        for i in reversed(upper):
             same = self.digit_equals(i, digits[i])
-            found = either(below, same if found == self.existence else both(same, found))
+            found = either(self.digit_at_most(i, digits[i] - 1), same if found == self.existence else both(same, found))
         return found
