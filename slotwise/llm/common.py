@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
+from collections.abc import Callable
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slotwise.functions.ranking import ranked
 from slotwise.sources.shared import cut, shared_dir
 
-__all__ = ["cut", "documents", "keep_rows", "labels", "ranked", "shared_dir"]
+__all__ = ["arrow_map", "cut", "documents", "keep_rows", "labels", "ranked", "shared_dir", "ship"]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +25,27 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
+def ship(spark: SparkSession) -> None:
+    """Gives the package to the executors, once a session, so that their Python workers can
+    import what the functions sent to them refer to, wherever the driver found it."""
+    sc = spark.sparkContext
+    if getattr(sc, "_slotwise_shipped", False):
+        return
+    package = Path(__file__).resolve().parents[1]
+    at = os.path.join(os.path.realpath(tempfile.mkdtemp()), f"{package.name}-package.zip")
+    with zipfile.ZipFile(at, "w") as out:
+        for p in sorted(package.rglob("*.py")):
+            out.write(p, p.relative_to(package.parent))
+    sc.addPyFile(at)
+    sc._slotwise_shipped = True
+
+
+def arrow_map(df: DataFrame, f: Callable, schema) -> DataFrame:
+    """``df.mapInArrow`` of a function of this package."""
+    ship(df.sparkSession)
+    return df.mapInArrow(f, schema)
+
+
 def keep_rows(docs: DataFrame, kept: DataFrame, repeated: bool, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, whole, whose id and text are in ``kept`` (id, h).
 

@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import arrow_map
+
 #: A payload is a multiple of this; an image is so many 8 x 8 blocks wide.
 UNIT = 192
 #: Rows of blocks of one image; a longer payload goes on in a further image.
@@ -282,7 +284,7 @@ def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(list(map(len, texts)), pa.int64()), media], names=["doc_id", "n_bytes", "media"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("t"))
-    return rows.mapInArrow(run, "doc_id long, n_bytes long, media binary")
+    return arrow_map(rows, run, "doc_id long, n_bytes long, media binary")
 
 
 def read_media(stored: DataFrame, media_col: str = "media") -> DataFrame:
@@ -298,7 +300,7 @@ def read_media(stored: DataFrame, media_col: str = "media") -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*part.columns, payload, features], names=[*part.schema.names, "payload", "feature"])
 
     schema = ", ".join(f"`{c}` {kind}" for c, kind in stored.dtypes)
-    return stored.mapInArrow(run, f"{schema}, payload binary, feature string")
+    return arrow_map(stored, run, f"{schema}, payload binary, feature string")
 
 
 def _small(batch: pa.RecordBatch, column: str, most: int = 16 << 20) -> Iterator[pa.RecordBatch]:

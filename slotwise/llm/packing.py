@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import tokenizer
-from .common import cut
+from .common import arrow_map, cut
 
 #: Bins that are open at a time.
 OPEN_BINS = 16384
@@ -127,7 +127,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = 1024, end_id: int =
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("t"))
-    return rows.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return arrow_map(rows, run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def pack(docs: DataFrame, path: str, capacity: int = 1024, end_id: int = 2, open_bins: int = OPEN_BINS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -156,4 +156,4 @@ def pack(docs: DataFrame, path: str, capacity: int = 1024, end_id: int = 2, open
             yield pa.RecordBatch.from_arrays([*x.columns[:-1], *new], names=[*x.schema.names[:-1], "sequence_id", "offset"])
 
     kept = dealt.select("doc_id", "piece", "start", "length", "ids_crc32", F.spark_partition_id().alias("task"))
-    return kept.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return arrow_map(kept, run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import arrow_map
+
 #: Bounds of the fit: labelled texts, and dimensions of the latent space. The labelled vectors
 #: that are broadcast take FIT_ROWS * DIMENSIONS * 4 bytes, whatever the input.
 FIT_ROWS, DIMENSIONS = 4096, 48
@@ -94,12 +96,14 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str, fold: tuple[int, int], id_col: str = "doc_id", text_col: str = "text", rows: int = FIT_ROWS) -> Model:
     """A model of at most ``rows`` labelled texts: those of the smallest hashes among the labels
-    outside the held-out fold. Null labels and ids are no labels."""
+    outside the held-out fold. Null labels and ids are no labels; of several texts with one id,
+    the least is taken."""
     count, held = fold
     known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("double").alias("label")).where("id IS NOT NULL AND label IS NOT NULL")
     known = known.where(fold_of("id", count) != held).groupBy("id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("id"), "id").limit(rows)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).join(F.broadcast(known), "id")  # ``rows`` rows at most
-    found = texts.select("label", "t").mapInArrow(_counts, "label double, counts binary").toArrow()
+    texts = texts.groupBy("id", "label").agg(F.min("t").alias("t"))
+    found = arrow_map(texts.select("label", "t"), _counts, "label double, counts binary").toArrow()
     counts = np.frombuffer(b"".join(found["counts"].to_pylist()), np.float32).reshape(-1, TERMS)
     label = found["label"].to_numpy()
     order = np.lexsort([*counts.T[::97], label])  # whatever order the tasks end in
@@ -134,5 +138,5 @@ def quality_scores(docs: DataFrame, labels: DataFrame, label_col: str = "quality
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("t"))
     rows = rows.select("doc_id", (fold_of("doc_id", fold[0]) == fold[1]).alias("held_out"), "t")
-    scored = rows.mapInArrow(score, "doc_id long, held_out boolean, score double")
+    scored = arrow_map(rows, score, "doc_id long, held_out boolean, score double")
     return scored.withColumn("predicted", (F.col("score") >= good).cast("int"))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import arrow_map, cut
 from .quality import fold_of
 
 #: Bounds of the fit: labelled texts, and voters beside the lexicon.
@@ -145,7 +145,7 @@ def mine(sample: DataFrame, most: int = MINED) -> list[str]:
                     found.append(sorted({f for w in words for f in features(w)}))
                 yield pa.RecordBatch.from_arrays([part["label"], pa.array(signatures, pa.int64()), pa.array(found, pa.list_(pa.string()))], names=["label", "signature", "found"])
 
-    each = sample.select("label", "t").mapInArrow(matches, "label double, signature long, found array<string>")
+    each = arrow_map(sample.select("label", "t"), matches, "label double, signature long, found array<string>")
     unlike = each.select("label", "signature", F.explode("found").alias("x")).groupBy("x", "signature").agg(F.max("label").alias("label"))
     counts = unlike.groupBy("x").agg(F.sum("label").alias("toxic"), F.count(F.lit(1)).alias("n"))
     good = counts.where((F.col("toxic") >= SUPPORT) & (F.col("toxic") >= PRECISION * F.col("n")))
@@ -153,11 +153,13 @@ def mine(sample: DataFrame, most: int = MINED) -> list[str]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str, fold: tuple[int, int], id_col: str = "doc_id", text_col: str = "text", rows: int = FIT_ROWS) -> tuple[Voters, Linear]:
-    """Voters and classifier from at most ``rows`` labelled texts outside the held-out fold."""
+    """Voters and classifier from at most ``rows`` labelled texts outside the held-out fold. Of
+    several texts with one id, the least is taken."""
     count, held = fold
     known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("double").alias("label")).where("id IS NOT NULL AND label IS NOT NULL")
     known = known.where(fold_of("id", count) != held).groupBy("id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("id"), "id").limit(rows)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).join(F.broadcast(known), "id")  # ``rows`` rows at most
+    texts = texts.groupBy("id", "label").agg(F.min("t").alias("t"))
     sample = cut(texts.select("id", "label", "t"))
     voters = Voters(mine(sample))
 
@@ -166,7 +168,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str, fold: tuple[int, int
             found = pa.array([voters.votes(t).tobytes() for t in x["t"].to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([x["id"], x["label"], found], names=["id", "label", "votes"])
 
-    got = sample.mapInArrow(vote, "id long, label double, votes binary").toArrow().sort_by([("id", "ascending"), ("votes", "ascending")])
+    got = arrow_map(sample, vote, "id long, label double, votes binary").toArrow().sort_by([("id", "ascending"), ("votes", "ascending")])
     votes = np.frombuffer(b"".join(got["votes"].to_pylist()), np.int8).reshape(-1, voters.size)
     if not len(votes):
         return voters, Linear(votes, np.empty(0))
@@ -192,7 +194,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, label_col: str = "toxic"
         for x in batches:
             yield pa.RecordBatch.from_arrays([x["doc_id"], x["held_out"], score(x["t"])], names=["doc_id", "held_out", "score"])
 
-    scored = rows.mapInArrow(run, "doc_id long, held_out boolean, score double")
+    scored = arrow_map(rows, run, "doc_id long, held_out boolean, score double")
     return scored.withColumn("predicted", (F.col("score") >= toxic).cast("int"))
 
 
@@ -204,7 +206,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame, label_col: str = "toxic",
         for x in batches:
             yield x.filter(pa.array(score(x[text_col]).to_numpy() < toxic))
 
-    return docs.mapInArrow(run, docs.schema)
+    return arrow_map(docs, run, docs.schema)
 
 
 def _scorer(docs: DataFrame, labels: DataFrame, label_col: str, fold: tuple[int, int], id_col: str, text_col: str):
