@@ -17,9 +17,7 @@ def _sha(text):
     return hashlib.sha256(text.encode()).hexdigest()
 
 
-@pytest.mark.parametrize("hot", [1 << 19, 4])
-def test_bpe(hard, hard_rows, hot, monkeypatch):
-    monkeypatch.setattr(bpe, "HOT_WORDS", hot)
+def test_bpe(hard, hard_rows):
     t, want = bpe.tokenizer(WORD), Counter()
     for i, text in hard_rows:
         ids = t.encode(text or "", add_special_tokens=False).ids
@@ -37,6 +35,14 @@ def test_bpe_whole(spark):
         assert r["decoded"] == t.decode(ids, skip_special_tokens=False)
 
 
+def test_bpe_words_are_the_librarys_own_business():
+    import pyarrow as pa
+
+    texts = ["A b\tC\nd  e ", None, "", "É<|X Y", "日本 X"]
+    flat, n = bpe.words_of(pa.array(texts))
+    assert flat.to_pylist() == ["a", "b", "c", "d", "e", "É<|X", "Y", "日本", "X"] and n.tolist() == [5, 0, 0, 2, 2]
+
+
 def test_packing(hard, hard_rows):
     out = packing.pack(hard, BYTE, capacity=64).collect()
     sequences, tokens = defaultdict(list), 0
@@ -70,9 +76,9 @@ def test_best_fit_by_hand():
 def test_secret_base():
     text = 'x token = "abcd1234" Password:short API_KEY:=longenough1 AKIAABCDEFGH1234 AKIA12 ' + "0f" * 20
     found = secrets.base_spans(text)
-    assert [k for k, _, _ in found] == ["assign", "access", "hex"]
-    assert [text[a:b] for _, a, b in found] == ['token = "abcd1234', "AKIAABCDEFGH1234", "0f" * 20]
-    assert secrets.base_spans("ſecret=aaaaaaaaaa toKen=aaaaaaaaaa") == []  # ASCII letters alone have two cases
+    assert [k for k, _, _ in found] == ["assign", "assign", "access", "hex"]
+    assert [text[a:b] for _, a, b in found] == ['token = "abcd1234', "API_KEY:=longenough1", "AKIAABCDEFGH1234", "0f" * 20]
+    assert secrets.base_spans("\u017fecret=aaaaaaaaaa to\u212aen=aaaaaaaaaa") == []  # only ASCII letters have two cases
     assert secrets.base_spans("toKEN=aaaaaaaaaa") == [("assign", 0, 16)]
 
 
@@ -102,6 +108,11 @@ def test_secret_structures():
     assert [k for k, _, _ in secrets.confirmed_spans(base64.b64encode(ssh).decode())] == ["ssh"]
 
 
+def test_secret_candidates_take_linear_time():
+    for text in ("eyJ" * 300_000 + ".", "token " * 200_000, "-----BEGIN KEY-----A" * 50_000, "A" * 1_000_000):
+        assert secrets.confirmed_spans(text) == []
+
+
 def test_secret_scan(spark, hard, hard_rows):
     rows = hard_rows + [(900 + i, f"日本 password={'k' * n} {'ab' * n} x") for i, n in enumerate((3, 8, 16, 40))]
     got = Counter(tuple(r) for r in secrets.secret_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect())
@@ -163,3 +174,8 @@ def test_sharding_keeps_groups_together(spark):
 def test_empty(empty):
     for f in (lambda d: bpe.encode_digests(d, WORD), lambda d: packing.pack(d, BYTE), secrets.secret_scan, secrets.redact, licenses.license_scan, sharding.shard_rows):
         assert f(empty).count() == 0
+
+
+def test_bpe_of_no_words(spark):
+    rows = spark.createDataFrame([(1, None), (2, "  "), (3, "")], "doc_id long, text string")
+    assert {tuple(r) for r in bpe.encode_digests(rows, WORD).collect()} == {(i, 0, _sha(""), _sha("")) for i in (1, 2, 3)}
