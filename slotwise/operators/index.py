@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from slotwise.functions import bitset
 from slotwise.functions.digits import Basis
-from slotwise.functions.ranking import ranked
+from slotwise.functions.ranking import ranked_and_counted
 from slotwise.operators import encoding as enc
 from slotwise.operators.encoding import Coded, Encoding, IndexType
 from slotwise.operators.predicates import Both, Compare, Not, Predicate, comparisons
@@ -96,7 +96,11 @@ def default_basis(index_type: IndexType, cardinality: int) -> Basis:
 
 def dictionary(values: DataFrame) -> DataFrame:
     """(value, rank): the distinct non-null values, ranked densely from 0 in their order."""
-    return ranked(values.select("value").where("value IS NOT NULL").distinct(), ["value"])
+    return _ranks(values)[0]
+
+
+def _ranks(values: DataFrame) -> tuple[DataFrame, int]:
+    return ranked_and_counted(values.select("value").where("value IS NOT NULL").distinct(), ["value"])
 
 
 class BitmapIndex:
@@ -133,8 +137,7 @@ class BitmapIndex:
             values = values.withColumn("rg_id", F.lit(0))
         kept = values.where("value IS NOT NULL").select(F.col("rg_id").cast("int").alias("rg_id"), "doc", "value")
         words = cut(bitset.pack(kept, "doc", ["rg_id", "value"]))
-        ranks = dictionary(words)
-        cardinality = ranks.count()
+        ranks, cardinality = _ranks(words)
         chosen = Basis(basis) if basis is not None else default_basis(index_type, cardinality)
         if chosen.product < cardinality:
             raise ValueError(f"{cardinality} values don't fit the basis {chosen.bases}")
