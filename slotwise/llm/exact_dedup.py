@@ -38,7 +38,8 @@ def _found(docs: DataFrame, id_col: str, text_col: str, salts: int) -> DataFrame
     before = F.lag("t").over(ordered)  # over keys that the range exchange has already brought together
     runs = keyed.repartitionByRange("p", "h", "s").select("id", "h", F.sha2("t", 256).alias("sha"), (before.isNull() | (before != F.col("t"))).alias("head"))
     found = cut(runs)
-    groups = found.groupBy("sha").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    # a table of its own, so that the join is between two exchanges and a hot text's rows can be split
+    groups = cut(found.groupBy("sha").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")))
     kept = F.col("head") & F.col("id").eqNullSafe(F.col("keep_id"))
     return found.join(groups, "sha").select("id", "h", "sha", "keep_id", "group_size", kept.alias("kept"))
 
