@@ -79,14 +79,15 @@ def shard_rows(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_c
 
 def _linked(base: DataFrame, room: int, shards: int) -> tuple[DataFrame, DataFrame]:
     """The rows with copies, in pieces and in their first shards; the rows without."""
-    groups = base.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    counted = cut(base.join(groups, "key"))
+    # a table of its own, so that the join is between two exchanges and a hot text's rows can be split
+    groups = cut(base.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    counted = cut(base.join(groups, "key", "left"))
     pieces = F.ceil(F.col("n") / max(1, room // PIECES_PER_SHARD))
     part = F.pmod(F.xxhash64("row", F.lit("piece")), pieces)
     start = F.pmod(F.xxhash64("row", F.lit("start")), F.lit(shards)).cast("int")
     own = ["doc_id", "size", "text_crc32", "row"]
-    linked = counted.where("n > 1").select(*own, F.xxhash64("key", part).alias("piece"), (F.col("n") / pieces).alias("n"), start.alias("shard"))
-    return linked, counted.where("n = 1").select(*own)
+    linked = counted.where("n IS NOT NULL").select(*own, F.xxhash64("key", part).alias("piece"), (F.col("n") / pieces).alias("n"), start.alias("shard"))
+    return linked, counted.where("n IS NULL").select(*own)
 
 
 def _round(linked: DataFrame, room: int, shards: int) -> DataFrame:
