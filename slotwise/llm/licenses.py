@@ -68,7 +68,7 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}\n]+", " ").alias("t"))
     lines = rows.select("doc_id", "t", F.split("t", "\n").alias("lines"))
-    whole = F.when(F.size("lines") > 1, F.array(F.translate("t", "\n", " "))).otherwise(F.array().cast("array<string>"))
+    whole = F.when(F.size("lines") > 1, F.array(F.regexp_replace("t", "[ \n]+", " "))).otherwise(F.array().cast("array<string>"))
     words = lines.select("doc_id", F.transform(F.concat("lines", whole), lambda u: F.split(F.trim(u), " ")).alias("words"))
     sets = words.select("doc_id", F.transform("words", _bigrams).alias("sets"))
     low, high = threshold / (2 - threshold), (2 - threshold) / threshold
@@ -105,7 +105,7 @@ def oracle(templates: dict[str, str] | None = None, threshold: float = THRESHOLD
 WITH templates(k, name, own) AS (VALUES {values}),
 norm AS (SELECT doc_id, regexp_replace(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}\n]+', ' ', 'g') AS t FROM documents),
 lined AS (SELECT doc_id, t, string_split(t, chr(10)) AS lines FROM norm),
-units AS (SELECT doc_id, CASE WHEN len(lines) > 1 THEN list_append(lines, replace(t, chr(10), ' ')) ELSE lines END AS us FROM lined),
+units AS (SELECT doc_id, CASE WHEN len(lines) > 1 THEN list_append(lines, regexp_replace(t, '[ \n]+', ' ', 'g')) ELSE lines END AS us FROM lined),
 unit AS (SELECT doc_id, generate_subscripts(us, 1) - 1 AS unit, string_split(trim(unnest(us)), ' ') AS w FROM units),
 sets AS (SELECT doc_id, unit, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS s FROM unit WHERE len(w) > 1),
 dice AS (SELECT doc_id, unit, k, name, 2.0 * len(list_intersect(s, own))::DOUBLE / (len(s) + len(own)) AS dice
