@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, keep_rows
+from .common import arrow_map, cut, keep_rows
 from .components import components
 
 #: A fingerprint has 32 segments of two bits; a segment's bit count is one coordinate.
@@ -54,7 +54,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([x["doc_id"], x["h"], pa.array(found)], names=["doc_id", "h", "fp"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    return rows.select("doc_id", F.xxhash64("t").alias("h"), "t").mapInArrow(of, "doc_id long, h long, fp long")
+    return arrow_map(rows.select("doc_id", F.xxhash64("t").alias("h"), "t"), of, "doc_id long, h long, fp long")
 
 
 def embedded(fp: Column) -> Column:
@@ -155,8 +155,9 @@ def links(fps: DataFrame, distance: int = 3, block: int = BLOCK) -> DataFrame:
     masks = F.array(*(F.lit(m) for m in grid_masks(distance)))
     points = fps.select("fp", embedded(F.col("fp")).alias("e"))
     cells = points.select("fp", "e", F.posexplode(masks).alias("k", "mask")).select("fp", "e", F.xxhash64("k", F.col("e").bitwiseAND(F.col("mask"))).alias("cell"))
-    # two cells of one hash would only be compared for nothing
-    sizes = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    # two cells of one hash would only be compared for nothing; a table of its own, so that the
+    # join is between two exchanges and a large cell's rows can be split
+    sizes = cut(cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     shared = cells.join(sizes, "cell")
     blocks = F.ceil(F.col("n") / block).cast("int")
     own = F.pmod(F.xxhash64("fp", F.lit("block")), blocks).cast("int")
@@ -169,7 +170,7 @@ def links(fps: DataFrame, distance: int = 3, block: int = BLOCK) -> DataFrame:
         "e",
     )
     groups = small.union(large).repartition("g").sortWithinPartitions("g")
-    return groups.mapInArrow(_compare(distance), "a long, b long").distinct()
+    return arrow_map(groups, _compare(distance), "a long, b long").distinct()
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, distance: int = 3) -> DataFrame:
