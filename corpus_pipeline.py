@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from slotwise.llm import exact_dedup, packing, secrets, simhash, toxicity
+from slotwise.llm import exact_dedup, near_copies, packing, secrets, toxicity
 from slotwise.llm.common import cut, documents, labels
 from slotwise.llm.queries import vocabulary
 
@@ -25,8 +25,8 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group that op2 links, the row with the smallest doc_id."""
-    return simhash.without_near_copies(docs)
+    """Of each group of texts with five-word Jaccard similarities of 0.8 or more, the row with the smallest doc_id."""
+    return near_copies.without_near_copies(docs)
 
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
