@@ -49,6 +49,11 @@ def bigrams(text: str) -> list[str]:
     return sorted({f"{a} {b}" for a, b in zip(words, words[1:])})
 
 
+def length(text: str) -> int:
+    """The words of a template, as in the scan."""
+    return len(re.sub(r"[\W_]+", " ", text.lower()).split())
+
+
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_matches, license, dice, matches.
 
@@ -70,7 +75,7 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     lines = rows.select("doc_id", "t", F.split("t", "\n").alias("lines"))
     whole = F.when(F.size("lines") > 1, F.array(F.regexp_replace("t", "[ \n]+", " "))).otherwise(F.array().cast("array<string>"))
     words = lines.select("doc_id", F.transform(F.concat("lines", whole), lambda u: F.split(F.trim(u), " ")).alias("words"))
-    sets = words.select("doc_id", F.transform("words", _bigrams).alias("sets"))
+    sets = words.select("doc_id", "words", F.transform("words", _bigrams).alias("sets"))
     low, high = threshold / (2 - threshold), (2 - threshold) / threshold
 
     def against(found: Column, unit: Column) -> Column:
@@ -82,16 +87,62 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             rows.append(F.struct(dice.alias("dice"), F.lit(-k).alias("k"), unit.alias("unit"), F.lit(name).alias("name")))
         return F.filter(F.array(*rows), lambda x: x["dice"] >= threshold)
 
-    hits = sets.select("doc_id", F.flatten(F.transform("sets", against)).alias("hits")).withColumn("best", F.array_max("hits"))
+    every = F.array(*map(F.lit, sorted({b for _, notice in named for b in bigrams(notice)})))
+    related = F.array_intersect(F.element_at("sets", -1), every)
+    hits = sets.select("doc_id", "words", F.flatten(F.transform("sets", against)).alias("hits"), related.alias("related"))
+    windows = F.concat(*(_windows(k, name, notice, threshold, low, high) for k, (name, notice) in enumerate(named)))
+    # a shorter list has no template's share of bigrams
+    fewest = low * min(len(bigrams(notice)) for _, notice in named)
+    hits = hits.withColumn("windows", F.when(F.size("related") >= fewest, windows).otherwise(F.array().cast(_WINDOWS)))
+    hits = hits.withColumn("windows", F.when(F.size("windows") > 0, _apart(F.col("windows"), F.col("hits"), F.col("words"))).otherwise(F.col("windows")))
+    key = lambda x: F.struct(x["dice"].alias("dice"), x["k"].alias("k"), x["name"].alias("name"))
+    hits = hits.withColumn("best", F.array_max(F.concat(F.transform("hits", key), F.transform("windows", key))))
+    units = F.transform("hits", lambda x: F.concat_ws(":", x["unit"].cast("string"), x["name"]))
+    inside = F.transform(F.array_sort("windows"), lambda x: F.concat(F.lit("w"), x["start"].cast("string"), F.lit(":"), x["name"]))
     return hits.select(
         "doc_id",
-        F.size("hits").cast("long").alias("n_matches"),
+        (F.size("hits") + F.size("windows")).cast("long").alias("n_matches"),
         F.col("best.name").alias("license"),
         F.round("best.dice", 6).alias("dice"),
-        F.concat_ws(",", F.transform("hits", lambda x: F.concat_ws(":", x["unit"].cast("string"), x["name"]))).alias("matches"),
+        F.concat_ws(",", F.concat(units, inside)).alias("matches"),
     )
 
 
+_WINDOWS = "array<struct<start:int,end:int,dice:double,k:int,name:string>>"
+
+
+def _windows(k: int, name: str, notice: str, threshold: float, low: float, high: float) -> Column:
+    """The windows of the whole text that match a template, from columns words and related."""
+    own, size, text = bigrams(notice), length(notice), F.element_at("words", -1)
+    members = F.array(*map(F.lit, own))
+    starts = F.filter(F.sequence(F.lit(0), F.size(text) - 2), lambda i: F.array_contains(members, F.concat_ws(" ", F.get(text, i), F.get(text, i + 1))))
+
+    def window(i: Column) -> Column:
+        found = _bigrams(F.slice(text, i + 1, F.lit(size)))
+        # one value of the set for both of its uses
+        dice = F.transform(F.array(found), lambda x: F.when(F.size(x).between(low * len(own), high * len(own)), F.lit(2.0) * F.size(F.array_intersect(x, members)) / (F.size(x) + F.lit(len(own)))))
+        return F.struct(i.alias("start"), F.least(i + size, F.size(text)).alias("end"), F.get(dice, F.lit(0)).alias("dice"), F.lit(-k).alias("k"), F.lit(name).alias("name"))
+
+    matching = F.filter(F.transform(starts, window), lambda x: x["dice"] >= threshold)
+    # Dice at least t asks for that share of the template's bigrams
+    return F.when(F.size(F.array_intersect("related", members)) >= low * len(own), matching.cast(_WINDOWS)).otherwise(F.array().cast(_WINDOWS))
+
+
+def _apart(windows: Column, hits: Column, words: Column) -> Column:
+    """The best of overlapping windows of a template, outside of what has matched as a unit."""
+    counts = F.transform(words, lambda x: F.size(F.filter(x, lambda w: w != "")))
+    before = lambda u: F.aggregate(F.slice(counts, F.lit(1), u), F.lit(0), lambda a, b: a + b)
+    whole = lambda u: (u > 0) & (u == F.size(words) - 1)
+    ranges = F.transform(hits, lambda x: F.struct(F.when(whole(x["unit"]), 0).otherwise(before(x["unit"])).alias("start"), F.get(counts, x["unit"]).alias("n"), x["name"].alias("name")))
+    within = lambda x, start, end: (x["start"] >= start) & (x["end"] <= end)
+    meets = lambda x, start, end: (x["start"] < end) & (x["end"] > start)
+    better = lambda y, x: (y["dice"] > x["dice"]) | ((y["dice"] == x["dice"]) & (y["start"] < x["start"]))
+    taken = lambda x: F.exists(ranges, lambda r: within(x, r["start"], r["start"] + r["n"]) | ((x["name"] == r["name"]) & meets(x, r["start"], r["start"] + r["n"])))
+    best = F.filter(windows, lambda x: ~F.exists(windows, lambda y: (x["name"] == y["name"]) & meets(x, y["start"], y["end"]) & better(y, x)))
+    longer = lambda y, x: (y["end"] - y["start"] > x["end"] - x["start"]) & within(x, y["start"], y["end"])
+    return F.filter(best, lambda x: ~taken(x) & ~F.exists(best, lambda y: longer(y, x)))
+
+
 def _bigrams(words: Column) -> Column:
     pairs = F.zip_with(F.slice(words, F.lit(1), F.size(words) - 1), F.slice(words, F.lit(2), F.size(words) - 1), lambda a, b: F.concat_ws(" ", a, b))
     return F.when(F.size(words) > 1, F.array_distinct(pairs)).otherwise(F.array().cast("array<string>"))
