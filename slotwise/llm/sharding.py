@@ -24,9 +24,12 @@ def shard_rows(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_c
     Every row starts in the shard of its hash. In each round the members of a group (or of a
     piece of it, where the group is larger than a quarter of a shard) count the shards that
     they are in and ask for the commonest one with room; a shard admits requests, large
-    pieces first, while its quota lasts. After the rounds, rows without links fill what is
-    free to the exact counts; where linked rows overfill a shard, those of its smallest pieces
-    leave. Ranks come from range partitions and their counts, never from one task.
+    pieces first, while its quota lasts. Groups of over a quarter of a shard are placed before
+    that, in as few shards as hold them. After the rounds, pieces that full shards kept apart
+    exchange places: all of them give theirs up and take what is free one after another, so
+    that the end of a shard cuts one piece at most. Rows without links fill the rest to the
+    exact counts; where linked rows overfill a shard, those of its smallest pieces leave.
+    Ranks come from range partitions and their counts, never from one task.
 
     size is the text's UTF-8 bytes plus 16, and null counts as no bytes (its CRC is 0; it is
     linked with empty texts). slot numbers the rows of a shard from 0 without gaps.
@@ -47,22 +50,28 @@ def shard_rows(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_c
     total = base.count()
     room = total // shards
     linked, single = _linked(base, room, shards)
+    hot, linked, held = _hot(linked, room, shards)
     for _ in range(rounds):
-        linked = _round(linked, room, shards)
+        linked = _round(linked, room, shards, held)
+    spread = linked.groupBy("piece").agg((F.min("shard") != F.max("shard")).alias("spread"))
+    linked = cut(linked.join(spread, "piece").unionByName(hot))
+    apart, linked = linked.where("spread").drop("spread"), linked.where("NOT spread").drop("spread")
 
     load = {s: 0 for s in range(shards)} | {r["shard"]: r["n"] for r in linked.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a shard
     fullest = sorted(load, key=lambda s: (-load[s], s))
     want = {s: room + (k < total % shards) for k, s in enumerate(fullest)}
-    keep, pool = linked, single
+    columns = ["doc_id", "size", "text_crc32", "row", "n", "piece"]
+    single = single.withColumn("n", F.lit(1.0)).withColumn("piece", F.xxhash64("row"))
+    keep, pool = linked, single.unionByName(apart.select(*columns))
     if any(load[s] > want[s] for s in load):
         at = ranked(linked, [F.col("shard"), F.col("n").desc(), F.col("piece"), F.col("row")])
         place = F.col("rank") - _by_shard(_starts(load), "shard")
         at = at.withColumn("stays", place < _by_shard(want, "shard"))
         keep = at.where("stays").drop("rank", "stays")
-        pool = single.unionByName(at.where("not stays").select(*single.columns))
+        pool = pool.unionByName(at.where("not stays").select(*columns))
     free = {s: max(0, want[s] - load[s]) for s in load}
     ends = [end for end in _starts(free).values()][1:]
-    pool = ranked(pool, [F.xxhash64("row"), F.col("row")])
+    pool = ranked(pool, [F.col("n").desc(), F.col("piece"), F.col("row")])  # pieces, one after another, before rows without links
     filled = pool.withColumn("shard", F.size(F.filter(F.array(*(F.lit(e) for e in ends)).cast("array<long>"), lambda e: e <= F.col("rank"))))
     columns = ["doc_id", "size", "text_crc32", "row", "shard"]
     dealt = ranked(keep.select(*columns).union(filled.select(*columns)), [F.col("shard"), F.xxhash64("row"), F.col("row")])
@@ -86,15 +95,44 @@ def _linked(base: DataFrame, room: int, shards: int) -> tuple[DataFrame, DataFra
     part = F.pmod(F.xxhash64("row", F.lit("piece")), pieces)
     start = F.pmod(F.xxhash64("row", F.lit("start")), F.lit(shards)).cast("int")
     own = ["doc_id", "size", "text_crc32", "row"]
-    linked = counted.where("n IS NOT NULL").select(*own, F.xxhash64("key", part).alias("piece"), (F.col("n") / pieces).alias("n"), start.alias("shard"))
+    linked = counted.where("n IS NOT NULL").select(*own, "key", F.xxhash64("key", part).alias("piece"), (F.col("n") / pieces).alias("n"), start.alias("shard"))
     return linked, counted.where("n IS NULL").select(*own)
 
 
-def _round(linked: DataFrame, room: int, shards: int) -> DataFrame:
+def _hot(linked: DataFrame, room: int, shards: int) -> tuple[DataFrame, DataFrame, dict[int, int]]:
+    """The rows of groups of over a quarter of a shard, in as few shards as hold them (spread:
+    without a place); the other linked rows; the rows of the former in each shard."""
+    groups = linked.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max(1, room // PIECES_PER_SHARD))
+    sizes = sorted(((r["n"], r["key"]) for r in groups.collect()), reverse=True)  # at most four a shard, by their sizes
+    free, places = dict.fromkeys(range(shards), room), []
+    start = 0
+    for n, key in sizes:
+        left = n
+        while left and (most := max(free.values())) > 0:
+            # the least room that holds all that is left, or else the most there is
+            s = min((s for s in free if free[s] >= min(left, most)), key=lambda s: (free[s], s))
+            take = min(left, free[s])
+            places.append((key, start + n - left, start + n - left + take, s))
+            free[s] -= take
+            left -= take
+        if left:
+            places.append((key, start + n - left, start + n, None))
+        start += n
+    spark = linked.sparkSession
+    keys = F.broadcast(spark.createDataFrame([(k, -i) for i, (_, k) in enumerate(sizes)], "key string, turn int"))
+    at = ranked(linked.join(keys, "key").withColumn("turn", -F.col("turn")), [F.col("turn"), F.col("row")])
+    to = F.broadcast(spark.createDataFrame(places, "key string, first long, past long, target int"))
+    placed = at.join(to, "key").where("rank >= first AND rank < past")
+    # the rows of a group without a place keep together behind it
+    hot = placed.select("doc_id", "size", "text_crc32", "row", F.xxhash64("key").alias("piece"), F.col("n"), F.coalesce("target", "shard").alias("shard"), F.col("target").isNull().alias("spread"))
+    return hot, linked.join(keys, "key", "left_anti").drop("key"), {s: room - x for s, x in free.items()}
+
+
+def _round(linked: DataFrame, room: int, shards: int, held: dict[int, int]) -> DataFrame:
     spark = linked.sparkSession
     load = linked.groupBy("shard").agg(F.count(F.lit(1)).alias("load"))
     every = spark.range(shards).select(F.col("id").cast("int").alias("shard"))
-    spare = every.join(load, "shard", "left").select("shard", (F.lit(room) - F.coalesce("load", F.lit(0))).alias("spare"))  # a row a shard
+    spare = every.join(load, "shard", "left").select("shard", (F.lit(room) - _by_shard(held, "shard") - F.coalesce("load", F.lit(0))).alias("spare"))  # a row a shard
     tally = linked.groupBy("piece", "shard").agg(F.count(F.lit(1)).alias("c"))
     asked = tally.join(F.broadcast(spare), "shard").groupBy("piece").agg(
         F.sum("c").alias("size"),
