@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from slotwise.functions.ranking import ranked
 from slotwise.sources.shared import cut, shared_dir
 
-__all__ = ["arrow_map", "cut", "documents", "keep_rows", "labels", "ranked", "shared_dir", "ship"]
+__all__ = ["arrow_map", "cut", "documents", "keep_rows", "labels", "private", "ranked", "shared_dir", "ship"]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,16 +46,26 @@ def arrow_map(df: DataFrame, f: Callable, schema) -> DataFrame:
     return df.mapInArrow(f, schema)
 
 
+def private(columns: list[str]) -> Callable[[str], str]:
+    """Names of an operator's own columns, none of which is in ``columns``."""
+    prefix = "_own_"
+    while any(c.lower().startswith(prefix) for c in columns):
+        prefix = f"_{prefix}"
+    return lambda name: prefix + name
+
+
 def keep_rows(docs: DataFrame, kept: DataFrame, repeated: bool, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, whole, whose id and text are in ``kept`` (id, h).
 
     h is xxhash64 of the text (null as empty); null ids match each other. The rows are moved
-    once, by id and hash. If ``repeated``, rows of the same id and text come out once.
+    once, by id and hash. If ``repeated``, rows of the same id and text come out once. Columns
+    of ``docs`` may have any names.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    keys = docs.withColumn("__id", F.col(id_col).cast("long")).withColumn("__h", F.xxhash64(text))
-    wanted = kept.select(F.col("id").alias("__kept_id"), F.col("h").alias("__kept_h"))
-    found = keys.join(wanted, F.col("__id").eqNullSafe(F.col("__kept_id")) & (F.col("__h") == F.col("__kept_h")), "left_semi")
+    own = private(docs.columns)
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    keys = docs.withColumns({own("id"): F.col(f"`{id_col}`").cast("long"), own("h"): F.xxhash64(text)})
+    wanted = kept.select(F.col("id").alias(own("kept_id")), F.col("h").alias(own("kept_h")))
+    found = keys.join(wanted, F.col(own("id")).eqNullSafe(F.col(own("kept_id"))) & (F.col(own("h")) == F.col(own("kept_h"))), "left_semi")
     if repeated:
-        found = found.dropDuplicates(["__id", "__h"])
-    return found.drop("__id", "__h")
+        found = found.dropDuplicates([own("id"), own("h")])
+    return found.drop(own("id"), own("h"))

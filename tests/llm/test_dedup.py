@@ -7,8 +7,9 @@ from slotwise.llm import exact_dedup, simhash
 from slotwise.llm.components import components
 
 
-def test_exact_dedup(hard, hard_rows):
-    out = exact_dedup.exact_dedup(hard, salts=4).collect()
+@pytest.mark.parametrize("size", [exact_dedup.RANGE_BYTES, 4000])
+def test_exact_dedup(hard, hard_rows, size):
+    out = exact_dedup.exact_dedup(hard, range_bytes=size).collect()
     groups = defaultdict(list)
     for i, t in hard_rows:
         groups[t or ""].append(i)
