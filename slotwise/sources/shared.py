@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+_scopes = threading.local()
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster shares for cut lineage: ``spark.checkpoint.dir``.
@@ -27,9 +32,37 @@ def shared_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, keep: bool = False) -> DataFrame:
     """The rows of ``df`` as a Parquet table in the shared folder: lineage ends there, so a
-    lost executor costs a reread and not a recomputation."""
+    lost executor costs a reread and not a recomputation. ``keep``: beyond ``scratch``."""
     at = f"{shared_dir(df.sparkSession)}/slotwise-{uuid.uuid4().hex}"
     df.write.parquet(at)
-    return df.sparkSession.read.schema(df.schema).parquet(at)
+    if not keep and (scopes := getattr(_scopes, "open", None)):
+        scopes[-1].append(at)
+    found = df.sparkSession.read.schema(df.schema).parquet(at)
+    found._cut_at = at
+    return found
+
+
+def drop(df: DataFrame) -> None:
+    """Removes the table of a result of ``cut`` that nothing reads any more."""
+    _remove(df.sparkSession, df._cut_at)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Removes, at the end, the tables that this thread has cut within: for a caller that has
+    written by then what it computed from them."""
+    if not hasattr(_scopes, "open"):
+        _scopes.open = []
+    _scopes.open.append([])
+    try:
+        yield
+    finally:
+        for at in _scopes.open.pop():
+            _remove(spark, at)
+
+
+def _remove(spark: SparkSession, at: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
