@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from slotwise.llm import exact_dedup, near_copies, packing, secrets, toxicity
-from slotwise.llm.common import cut, documents, labels
+from slotwise.llm.common import cut, documents, drop, labels, scratch
 from slotwise.llm.queries import vocabulary
 
 
@@ -53,8 +53,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
-    docs = documents(spark, sf_dir)
+    """All stages over ``documents``. What a stage cut on its way, and what it read, is removed
+    when its result is written; the last one's result is read from its own tables."""
+    docs, before = documents(spark, sf_dir), None
     for _, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir))
+        with scratch(spark):
+            found = cut(stage(spark, docs, sf_dir), keep=True)
+        if before is not None:
+            drop(before)
+        docs = before = found
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -12,9 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slotwise.functions.ranking import ranked
-from slotwise.sources.shared import cut, shared_dir
+from slotwise.sources.shared import cut, drop, scratch, shared_dir
 
-__all__ = ["arrow_map", "cut", "documents", "keep_rows", "labels", "private", "ranked", "shared_dir", "ship"]
+__all__ = ["arrow_map", "cut", "documents", "drop", "keep_rows", "labels", "private", "ranked", "scratch", "shared_dir", "ship"]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, drop
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -14,22 +14,27 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Alternates two rewritings of the edge set, each one pre-aggregated minimum and one join:
     every neighbour above a node is hung on the smallest neighbour (large star), then every
     neighbour below it is (small star). Paths halve each round, so a handful of rounds will
-    do; the edges are cut to a table each round and never leave the executors. Joins on a hub
-    are between its rows and one row, which adaptive execution can split.
+    do; the edges are cut to a table each round and never leave the executors. The minima are
+    cut to a table too, so that each join is between two exchanges, and adaptive execution can
+    split the rows of a hub. Tables that are read no more are removed.
 
-    Nulls and self-links are ignored. Stops when a round changes nothing.
+    Nulls and self-links are ignored. Repeated links count once. Stops when a round changes
+    nothing. An empty table gives an empty result.
     """
     low, high = F.least(a, b), F.greatest(a, b)
     now = cut(edges.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).select(high.alias("v"), low.alias("u")).distinct())
     seen = _state(now)
     while seen[0]:
         both = now.select("v", "u").union(now.select(F.col("u").alias("v"), F.col("v").alias("u")))
-        least = both.groupBy("v").agg(F.min("u").alias("m")).select("v", F.least("v", "m").alias("m"))
+        least = cut(both.groupBy("v").agg(F.min("u").alias("m")).select("v", F.least("v", "m").alias("m")))
         # v's neighbours above it hang on v's least
-        large = both.where("u > v").join(least, "v").select(F.col("u").alias("v"), F.col("m").alias("u")).where("v <> u").distinct()
-        least = large.groupBy("v").agg(F.min("u").alias("m"))
-        hung = large.join(least, "v").where("u <> m").select(F.col("u").alias("v"), F.col("m").alias("u"))
-        now = cut(hung.union(least.select("v", F.col("m").alias("u"))).distinct())
+        large = cut(both.where("u > v").join(least, "v").select(F.col("u").alias("v"), F.col("m").alias("u")).where("v <> u").distinct())
+        below = cut(large.groupBy("v").agg(F.min("u").alias("m")))
+        hung = large.join(below, "v").where("u <> m").select(F.col("u").alias("v"), F.col("m").alias("u"))
+        following = cut(hung.union(below.select("v", F.col("m").alias("u"))).distinct())
+        for gone in (now, least, large, below):
+            drop(gone)
+        now = following
         if (state := _state(now)) == seen:
             break
         seen = state

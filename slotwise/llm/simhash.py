@@ -23,27 +23,33 @@ BLOCK = 1024
 _EDGES_HELD = 1_000_000
 
 
-def fingerprint(text: str | None, shingle: int = 3) -> int:
-    """64 bits: bit i is set if over half of the word shingles' XXH64 (seed 42) have it.
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """The XXH64 (seed 42) of each word shingle, in order, repeats included.
 
     Words are runs of anything but ASCII white space, A-Z lower-cased; fewer words than a
-    shingle are one shingle; no words give zero.
+    shingle are one shingle; no words give none.
     """
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return 0
+    digest = xxhash.xxh64_intdigest
     if len(words) < shingle:
-        hashes = [xxhash.xxh64_intdigest(b" ".join(words), 42)]
-    else:
-        digest = xxhash.xxh64_intdigest
-        hashes = [digest(b" ".join(x), 42) for x in zip(*(words[i:] for i in range(shingle)))]
+        return np.array([digest(b" ".join(words), 42)] if words else [], np.uint64)
+    return np.array([digest(b" ".join(x), 42) for x in zip(*(words[i:] for i in range(shingle)))], np.uint64)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """64 bits: bit i is set if over half of ``hashes`` have it."""
     votes = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 65536):  # bounds what a very long text holds
-        part = np.array(hashes[at : at + 65536], dtype=">u8").view(np.uint8).reshape(-1, 8)
+        part = hashes[at : at + 65536].astype(">u8").view(np.uint8).reshape(-1, 8)
         votes += np.unpackbits(part, axis=1).sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(votes * 2 > len(hashes)).tobytes(), "big")
 
 
+def fingerprint(text: str | None, shingle: int = 3) -> int:
+    """The majority of the hashes of the word shingles; no words give zero."""
+    return majority(shingle_hashes(text, shingle))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
     """(doc_id, h, fp): one row per row of ``docs``; h is the text's xxhash64 (null as empty),
     fp the fingerprint, as signed 64-bit numbers."""
@@ -79,7 +85,7 @@ def grid_masks(distance: int) -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
-def _forest(n: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def forest(n: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Links (node, root) that join the same nodes as a-b do: at most one for each node."""
     label = np.arange(n)
     while True:
@@ -115,12 +121,12 @@ def _compare(distance: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
             held.append((i[near], j[near]))
             size += int(near.sum())
             if size > _EDGES_HELD:
-                held = [_forest(n, *(np.concatenate(x) for x in zip(*held)))]
+                held = [forest(n, *(np.concatenate(x) for x in zip(*held)))]
                 size = len(held[0][0])
             lag += 1
         if not size:
             return np.empty(0, np.int64), np.empty(0, np.int64)
-        i, j = _forest(n, *(np.concatenate(x) for x in zip(*held)))
+        i, j = forest(n, *(np.concatenate(x) for x in zip(*held)))
         return fp[i].view(np.int64), fp[j].view(np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,7 +156,8 @@ def links(fps: DataFrame, distance: int = 3, block: int = BLOCK) -> DataFrame:
 
     Each fingerprint goes to one cell in every projection of the grid. A cell of over
     ``block`` members is cut into blocks by hash, and each pair of blocks is a group of its
-    own, so that no cell is one task's; all pairs of blocks are compared.
+    own, so that no cell is one task's; all pairs of blocks are compared. A block grows with
+    the root of its cell, so a cell of n members makes n^1.5 rows at most, never n^2.
     """
     masks = F.array(*(F.lit(m) for m in grid_masks(distance)))
     points = fps.select("fp", embedded(F.col("fp")).alias("e"))
@@ -158,21 +165,26 @@ def links(fps: DataFrame, distance: int = 3, block: int = BLOCK) -> DataFrame:
     # two cells of one hash would only be compared for nothing; a table of its own, so that the
     # join is between two exchanges and a large cell's rows can be split
     sizes = cut(cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
-    shared = cells.join(sizes, "cell")
-    blocks = F.ceil(F.col("n") / block).cast("int")
-    own = F.pmod(F.xxhash64("fp", F.lit("block")), blocks).cast("int")
-    small = shared.where(F.col("n") <= block).select(F.col("cell").alias("g"), F.lit(0).alias("side"), "fp", "e")
-    large = shared.where(F.col("n") > block).select("cell", "fp", "e", own.alias("i"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("j"))
-    large = large.select(
-        F.xxhash64("cell", F.least("i", "j"), F.greatest("i", "j")).alias("g"),
-        F.when(F.col("i") == F.col("j"), 0).when(F.col("i") < F.col("j"), 1).otherwise(2).alias("side"),
-        "fp",
-        "e",
-    )
-    groups = small.union(large).repartition("g").sortWithinPartitions("g")
+    shared = in_blocks(cells.join(sizes, "cell"), "fp", block_count(F.col("n"), block))
+    groups = shared.select("g", "side", "fp", "e").repartition("g").sortWithinPartitions("g")
     return arrow_map(groups, _compare(distance), "a long, b long").distinct()
 
 
+def block_count(n: Column, block: int) -> Column:
+    """Blocks of a cell of ``n`` members: of ``block`` members, and of more, in proportion to
+    the root of n, where n is large, so that a member is in at most sqrt(n / block) pairs."""
+    return F.ceil(n / F.greatest(F.lit(block), F.sqrt(n * block))).cast("int")
+
+
+def in_blocks(members: DataFrame, member: str, blocks: Column) -> DataFrame:
+    """``members`` (cell, ...) by pairs of blocks of their cells, with g and side: a row for each
+    pair that its block is in. side is 0 where a block is paired with itself, else 1 or 2."""
+    placed = members.withColumn("blocks", blocks).withColumn("i", F.pmod(F.xxhash64(member, F.lit("block")), F.col("blocks")).cast("int"))
+    pairs = placed.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    side = F.when(F.col("i") == F.col("j"), 0).when(F.col("i") < F.col("j"), 1).otherwise(2)
+    return pairs.withColumns({"g": F.xxhash64("cell", F.least("i", "j"), F.greatest("i", "j")), "side": side}).drop("blocks", "i", "j")
+
+
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, distance: int = 3) -> DataFrame:
     """One row per row of ``docs``: doc_id, fingerprint (16 hex digits), component_id.
 
