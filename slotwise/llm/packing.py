@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import functools
 import json
-import math
+import re
 import zlib
-from array import array
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,9 +17,13 @@ from .bpe import tokenizer
 from .common import arrow_map, cut
 
 #: Bins that are open at a time.
-OPEN_BINS = 16384
-#: Pieces that one task packs, about.
-TASK_PIECES = 20_000
+OPEN_BINS = 128
+#: Bytes of text encoded at a time; words that a worker remembers; characters of such a word.
+SLICE_BYTES, KNOWN, LONG_WORD = 4 << 20, 200_000, 64
+
+#: A blank amid or after other white space, where a text can't be cut before every blank; and
+#: the blanks where it can be then.
+_AMID, _AFTER = re.compile(r"\s (?:\s|\Z)"), re.compile(r"(?<=\S) ")
 
 
 class BestFit:
@@ -28,13 +32,13 @@ class BestFit:
     Open bins stand under their free space, and a bitset has a bit for each free space that
     some bin has, so the tightest bin that fits is its lowest bit from the piece's size up.
     A full bin closes; a new bin beyond the bound closes the fullest open one, the lowest bit
-    of all.
+    of all (``closed`` counts these).
     """
 
     def __init__(self, capacity: int, open_bins: int = OPEN_BINS):
         self.capacity, self.most = capacity, open_bins
         self.at: list[list[int]] = [[] for _ in range(capacity + 1)]
-        self.bits = self.open = self.made = 0
+        self.bits = self.open = self.made = self.closed = 0
 
     def _take(self, free: int) -> int:
         found = self.at[free].pop()
@@ -51,6 +55,7 @@ class BestFit:
             bin_ = self._take(free)
         else:
             if self.open >= self.most:
+                self.closed += 1
                 self._take((self.bits & -self.bits).bit_length() - 1)
             free, bin_, self.made = self.capacity, self.made, self.made + 1
         left = free - size
@@ -61,44 +66,55 @@ class BestFit:
         return bin_, self.capacity - free
 
 
-@functools.cache
-def encoder(path: str) -> Callable[[str], list[int]]:
-    """The ids of a text as the tokenizers library gives them.
+class Encoder:
+    """The ids of whole texts as the tokenizers library gives them, each text's as
+    little-endian unsigned 32-bit numbers.
 
-    For a plain byte-level vocabulary the same merges run in tiktoken, which is about five
-    times as fast; a text with characters beyond Latin-1 (where two regex engines might
-    differ) or what may be a special token goes to the library itself.
+    A byte-level vocabulary splits texts by a fixed pattern, which no piece crosses between
+    anything and a blank, but where the blank stands amid other white space. Texts are cut
+    there, and the library encodes each distinct word (with its blank) once while it is
+    remembered. A text that holds an added token, or any text of a tokenizer of another kind,
+    goes to the library whole.
     """
-    library = tokenizer(path)
-    exact = lambda text: library.encode(text, add_special_tokens=False).ids
-    with open(path, encoding="utf-8") as f:
-        spec = json.load(f)
-    step = spec.get("pre_tokenizer") or {}
-    merges = spec["model"].get("merges")
-    plain = spec.get("normalizer") is None and step.get("type") == "ByteLevel" and step.get("use_regex") and not step.get("add_prefix_space")
-    special = {t["content"] for t in spec.get("added_tokens", [])}
-    if not plain or not merges or spec["model"].get("type") != "BPE" or not all(t.startswith("<|") for t in special):
-        return exact
-    import tiktoken
-
-    # byte-level pieces write a printable byte as itself and any other as a character from 256 up
-    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    others = [b for b in range(256) if b not in set(printable)]
-    to_byte = {chr(b): b for b in printable} | {chr(256 + k): b for k, b in enumerate(others)}
-    ranks = {bytes(to_byte[c] for c in piece): i for piece, i in spec["model"]["vocab"].items() if piece not in special}
-    pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-    fast = tiktoken.Encoding("plain", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-
-    def encode(text: str) -> list[int]:
-        if "<|" in text:
-            return exact(text)
-        try:
-            text.encode("latin-1")
-        except UnicodeEncodeError:
-            return exact(text)
-        return fast(text)
-
-    return encode
+
+    def __init__(self, path: str):
+        self.library = tokenizer(path)
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        step = spec.get("pre_tokenizer") or {}
+        self.by_words = spec.get("normalizer") is None and step.get("type") == "ByteLevel" and step.get("use_regex") is True and not step.get("add_prefix_space") and not spec["model"].get("dropout")
+        self.added = [t["content"] for t in spec.get("added_tokens") or []]
+        self.known: dict[str, bytes] = {}
+
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        known, cut, firsts, whole = self.known, {}, {}, {}
+        if len(known) > KNOWN:
+            known.clear()
+        new: set[str] = set()
+        for i, t in enumerate(texts):
+            if not self.by_words or any(x in t for x in self.added):
+                whole[i] = t
+                continue
+            firsts[i], *rest = _AFTER.split(t) if _AMID.search(t) else t.split(" ")
+            cut[i] = rest
+            new.update(set(rest).difference(known))
+        words = list(new)
+        known.update(zip(words, self._ids([f" {w}" for w in words])))
+        out = dict(zip(whole, self._ids(list(whole.values())))) | dict(zip(firsts, self._ids(list(firsts.values()))))
+        for i, rest in cut.items():
+            out[i] += b"".join(map(known.__getitem__, rest))
+        for w in words:
+            if len(w) > LONG_WORD:
+                del known[w]
+        return [out[i] for i in range(len(texts))]
+
+
+@functools.cache
+def encoder(path: str) -> Encoder:
+    return Encoder(path)
 
 
 def cut_pieces(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -115,16 +131,18 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = 1024, end_id: int =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path)
-        for x in batches:
-            rows: list[tuple] = []
-            for doc_id, text in zip(x["doc_id"].to_pylist(), x["t"].to_pylist()):
-                ids = array("I", encode(text or ""))
-                ids.append(end_id)
-                for k, (start, length) in enumerate(cut_pieces(len(ids), capacity)):
-                    rows.append((doc_id, k, start, length, zlib.crc32(ids[start : start + length].tobytes())))
-            columns = zip(*rows) if rows else [[]] * 5
-            types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
+        end = np.array([end_id], "<u4").tobytes()
+        for batch in batches:
+            step = max(1, int(batch.num_rows * SLICE_BYTES / max(SLICE_BYTES, batch["t"].nbytes)))
+            for at in range(0, batch.num_rows, step):
+                x, rows = batch.slice(at, step), []
+                for doc_id, ids in zip(x["doc_id"].to_pylist(), encode([t or "" for t in x["t"].to_pylist()])):
+                    ids = memoryview(ids + end)
+                    for k, (start, length) in enumerate(cut_pieces(len(ids) // 4, capacity)):
+                        rows.append((doc_id, k, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)])))
+                columns = zip(*rows) if rows else [[]] * 5
+                types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("t"))
     return arrow_map(rows, run, "doc_id long, piece int, start long, length long, ids_crc32 long")
@@ -134,18 +152,18 @@ def pack(docs: DataFrame, path: str, capacity: int = 1024, end_id: int = 2, open
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     A document's ids and the end id are one piece, or, if longer than ``capacity``, full
-    pieces after a first that may be shorter. Pieces are dealt by hash, about TASK_PIECES to
-    a task, come longest first, and each goes to the fullest open sequence that takes it.
-    Only what tasks leave open at their end is not shared, so the waste doesn't grow with the
-    number of tasks by more than their last sequences.
-
-    A null text is empty: its one piece is the end id. Repeated rows are packed as often as
-    they come; null doc_ids come out as they come in; other columns are ignored; an empty
-    table gives an empty result.
+    pieces after a first that may be shorter. The pieces are written to a table, and each
+    partition of it is packed online, in the order in which it is read: a piece goes to the
+    fullest open sequence that takes it, and ``open_bins`` sequences are open at a time. So
+    nothing is shuffled, no id or length can be hot, and a task's state is bounded; what a
+    task leaves open at its end is all that more tasks cost.
+
+    A null text is empty: its one piece is the end id. A very long text is encoded whole, in
+    one task, and cut. Ties of free space go to the sequence that came to it last. Repeated
+    rows are packed as often as they come; null doc_ids come out as they come in; other
+    columns are ignored, whatever their names; an empty table gives an empty result.
     """
     pieces = cut(token_pieces(docs, path, capacity, end_id, id_col, text_col))
-    tasks = max(1, math.ceil(pieces.count() / TASK_PIECES))
-    dealt = pieces.repartition(tasks, F.xxhash64("doc_id", "piece", "start")).sortWithinPartitions(F.col("length").desc(), "doc_id", "piece")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bins = BestFit(capacity, open_bins)
@@ -155,5 +173,5 @@ def pack(docs: DataFrame, path: str, capacity: int = 1024, end_id: int = 2, open
             new = [pa.array([b + i for b, (i, _) in zip(base, placed)], pa.int64()), pa.array([o for _, o in placed], pa.int64())]
             yield pa.RecordBatch.from_arrays([*x.columns[:-1], *new], names=[*x.schema.names[:-1], "sequence_id", "offset"])
 
-    kept = dealt.select("doc_id", "piece", "start", "length", "ids_crc32", F.spark_partition_id().alias("task"))
+    kept = pieces.select("doc_id", "piece", "start", "length", "ids_crc32", F.spark_partition_id().alias("task"))
     return arrow_map(kept, run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

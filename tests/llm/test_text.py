@@ -1,6 +1,7 @@
 import base64
 import hashlib
 import json
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -179,3 +180,35 @@ def test_empty(empty):
 def test_bpe_of_no_words(spark):
     rows = spark.createDataFrame([(1, None), (2, "  "), (3, "")], "doc_id long, text string")
     assert {tuple(r) for r in bpe.encode_digests(rows, WORD).collect()} == {(i, 0, _sha(""), _sha("")) for i in (1, 2, 3)}
+
+
+def _library_ids(text):
+    return np.array(bpe.tokenizer(BYTE).encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+@pytest.mark.parametrize("run", [" ", "\t", "\n", "x", " \n", "a "])
+def test_packing_encodes_long_runs(run):
+    text = run * (1_500_000 // len(run))
+    assert packing.encoder(BYTE)([text, "a" + text + "b"]) == [_library_ids(text), _library_ids("a" + text + "b")]
+
+
+def test_packing_encodes_as_the_library_does():
+    rng = random.Random(1)
+    marks = [*"ab'sX.,!19 \n\t\r \x0b\x0c\x1c\x85\xa0 ᠎ ​ 　﻿é日\U0001f600", "  ", " \n", "<|endoftext|>", "'ll", "'t ", " the"]
+    texts = ["".join(rng.choice(marks) for _ in range(rng.randrange(25))) for _ in range(20_000)]
+    assert packing.encoder(BYTE)(texts) == [_library_ids(t) for t in texts]
+
+
+def test_the_bound_on_open_bins_binds(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    lengths = [r["length"] for r in packing.token_pieces(docs, BYTE).select("length").collect()]
+    bins = packing.BestFit(1024)
+    for n in lengths:
+        bins.add(n)
+        assert bins.open <= packing.OPEN_BINS
+    assert bins.closed > 100 and bins.made <= 1.02 * sum(lengths) / 1024 + packing.OPEN_BINS
+
+
+def test_equal_ids_are_packed_by_many_tasks(spark):
+    out = packing.pack(spark.createDataFrame([(None, "same text") for _ in range(4000)], "doc_id long, text string").repartition(8), BYTE, capacity=16)
+    assert out.count() == 4000 and out.select("sequence_id").distinct().count() <= 1400
