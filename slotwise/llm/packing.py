@@ -6,7 +6,8 @@ import functools
 import json
 import re
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +25,10 @@ SLICE_BYTES, KNOWN, LONG_WORD = 4 << 20, 200_000, 64
 #: A blank amid or after other white space, where a text can't be cut before every blank; and
 #: the blanks where it can be then.
 _AMID, _AFTER = re.compile(r"\s (?:\s|\Z)"), re.compile(r"(?<=\S) ")
+#: Where engines of patterns might differ: beyond Latin-1, and in long runs of white space.
+_FAR = re.compile(r"[^\x00-\xff]|\s{256}")
+# Fixed value: the splitting pattern of byte-level vocabularies.
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 class BestFit:
@@ -73,8 +78,9 @@ class Encoder:
     A byte-level vocabulary splits texts by a fixed pattern, which no piece crosses between
     anything and a blank, but where the blank stands amid other white space. Texts are cut
     there, and the library encodes each distinct word (with its blank) once while it is
-    remembered. A text that holds an added token, or any text of a tokenizer of another kind,
-    goes to the library whole.
+    remembered. Texts of Latin-1 go whole through tiktoken, where the vocabulary is proven to
+    give the same ids there (``_ranked``). A text that holds an added token, or any text of a
+    tokenizer of another kind, goes to the library whole.
     """
 
     def __init__(self, path: str):
@@ -85,12 +91,13 @@ class Encoder:
         self.by_words = spec.get("normalizer") is None and step.get("type") == "ByteLevel" and step.get("use_regex") is True and not step.get("add_prefix_space") and not spec["model"].get("dropout")
         self.added = [t["content"] for t in spec.get("added_tokens") or []]
         self.known: dict[str, bytes] = {}
+        self.ranked = _ranked(spec, self.library) if self.by_words else None
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        known, cut, firsts, whole = self.known, {}, {}, {}
+        known, cut, plain, firsts, whole = self.known, {}, {}, {}, {}
         if len(known) > KNOWN:
             known.clear()
         new: set[str] = set()
@@ -98,12 +105,16 @@ class Encoder:
             if not self.by_words or any(x in t for x in self.added):
                 whole[i] = t
                 continue
+            if self.ranked and not _FAR.search(t):
+                plain[i] = t
+                continue
             firsts[i], *rest = _AFTER.split(t) if _AMID.search(t) else t.split(" ")
             cut[i] = rest
             new.update(set(rest).difference(known))
         words = list(new)
         known.update(zip(words, self._ids([f" {w}" for w in words])))
         out = dict(zip(whole, self._ids(list(whole.values())))) | dict(zip(firsts, self._ids(list(firsts.values()))))
+        out |= {i: array("I", self.ranked(t)).tobytes() for i, t in plain.items()}
         for i, rest in cut.items():
             out[i] += b"".join(map(known.__getitem__, rest))
         for w in words:
@@ -112,6 +123,33 @@ class Encoder:
         return [out[i] for i in range(len(texts))]
 
 
+def _ranked(spec: dict, library) -> Callable[[str], list[int]] | None:
+    """tiktoken's encoding by ids as ranks, where it is the library's by merges; else None.
+
+    It is if ids rise with merges and every piece comes out of its own bytes as itself. For
+    let ranks merge x and y, the lowest pair, into z. No merge has crossed the ends of z, so
+    inside all lower merges are done as they are for z alone, which leaves the one pair that
+    is listed for z: that pair is x and y.
+    """
+    merges, vocab, special = spec["model"].get("merges"), spec["model"]["vocab"], {t["content"] for t in spec.get("added_tokens") or []}
+    if not merges or spec["model"].get("type") != "BPE":
+        return None
+    made = [vocab.get("".join(m.split(" ") if isinstance(m, str) else m), -1) for m in merges]
+    pieces = [x for x in vocab if x not in special]
+    if made != sorted(set(made)) or any([t.value for t in library.model.tokenize(x)] != [x] for x in pieces):
+        return None
+    import tiktoken
+
+    # a printable byte is written as itself, any other as a character from 256 up
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in set(printable)]
+    to_byte = {chr(b): b for b in printable} | {chr(256 + k): b for k, b in enumerate(others)}
+    if any(c not in to_byte for x in pieces for c in x) or not set(to_byte) <= set(pieces):
+        return None
+    ranks = {bytes(to_byte[c] for c in x): vocab[x] for x in pieces}
+    return tiktoken.Encoding("by ranks", pat_str=_SPLIT, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+
 @functools.cache
 def encoder(path: str) -> Encoder:
     return Encoder(path)
