@@ -148,6 +148,13 @@ class BitMap:
     def contains(self, doc: int) -> bool:
         return not self.words.where((F.col("w") == doc >> 6) & (F.bit_get("bits", F.lit(doc & 63)) == 1)).isEmpty()
 
+    def holds(self, df: DataFrame, doc: str, name: str = "held") -> DataFrame:
+        """``df`` with a column that says whether the id in the column ``doc`` is in the set."""
+        words = self.words.groupBy("w").agg(F.bit_or("bits").alias("_bits")).withColumnRenamed("w", "_w")
+        own = F.col(doc).cast("long")
+        held = F.coalesce(F.bit_get("_bits", own.bitwiseAND(63).cast("int")) == 1, F.lit(False))
+        return df.join(words, word(own) == F.col("_w"), "left").withColumn(name, held).drop("_w", "_bits")
+
     def __contains__(self, doc: int) -> bool:
         return self.contains(doc)
 

@@ -36,6 +36,7 @@ class IndexResult:
 
     accuracy: IndexAccuracy
     docs: DataFrame | None
+    words: DataFrame | None = None
 
     def values(self, rg_id: int | None = None) -> list[int]:
         """The ids in ascending order, on the driver."""
@@ -44,7 +45,7 @@ class IndexResult:
 
     def per_row_group(self) -> DataFrame:
         """(rg_id, n)"""
-        return self.docs.groupBy("rg_id").agg(F.count(F.lit(1)).alias("n"))
+        return self.words.where("bits <> 0").groupBy("rg_id").agg(F.sum(F.bit_count("bits").cast("long")).alias("n"))
 
 
 @dataclass(frozen=True)
@@ -124,28 +125,48 @@ class BitmapIndex:
         index_type: IndexType = IndexType.BITMAP,
         basis: Sequence[int] | None = None,
         accuracy: IndexAccuracy = IndexAccuracy.EXACT,
-        check_single: bool = False,
+        several: bool = False,
     ) -> BitmapIndex:
         """An index of ``values`` (doc, value, and rg_id unless there is one row group).
 
         Ids become 64-bit words before anything is joined: a hot value is combined where it
         is read, and the dictionary joins words, not documents. Null values are in no bitmap.
-        ``check_single`` fails for documents of several values, which only the equality
-        encoding of one component can hold.
+        A document of several values is an error, unless ``several``: then the encoding must
+        be equality in one component, whatever the number of values, where a document may be
+        in several slots.
         """
         if "rg_id" not in values.columns:
             values = values.withColumn("rg_id", F.lit(0))
         kept = values.where("value IS NOT NULL").select(F.col("rg_id").cast("int").alias("rg_id"), "doc", "value")
-        words = cut(bitset.pack(kept, "doc", ["rg_id", "value"]))
+        return cls.of_words(bitset.pack(kept, "doc", ["rg_id", "value"]), column_path, encoding, index_type, basis, accuracy, several)
+
+    @classmethod
+    def of_words(
+        cls,
+        words: DataFrame,
+        column_path: str = "value",
+        encoding: Encoding = Encoding.EQUALITY,
+        index_type: IndexType = IndexType.BITMAP,
+        basis: Sequence[int] | None = None,
+        accuracy: IndexAccuracy = IndexAccuracy.EXACT,
+        several: bool = False,
+    ) -> BitmapIndex:
+        """As ``build``, of ids already packed: (rg_id, value, w, bits), one row for each value
+        and word."""
+        words = cut(words.select("rg_id", "value", "w", "bits"))
         ranks, cardinality = _ranks(words)
-        chosen = Basis(basis) if basis is not None else default_basis(index_type, cardinality)
-        if chosen.product < cardinality:
-            raise ValueError(f"{cardinality} values don't fit the basis {chosen.bases}")
-        entry = ColumnEntry(column_path, dict(values.dtypes)["value"], encoding, index_type, chosen, cardinality, accuracy)
-        if check_single and not (encoding is Encoding.EQUALITY and len(chosen.bases) == 1):
+        if several:
+            if encoding is not Encoding.EQUALITY or index_type is not IndexType.BITMAP or (basis is not None and len(basis) > 1):
+                raise ValueError("only the equality encoding of one component holds several values of a document")
+            chosen = Basis(basis or [max(1, cardinality)])
+        else:
+            chosen = Basis(basis) if basis is not None else default_basis(index_type, cardinality)
             sizes = words.groupBy("rg_id", "w").agg(F.sum(F.bit_count("bits")).alias("n"), F.bit_or("bits").alias("bits"))
             if not sizes.where(F.col("n") > F.bit_count("bits")).isEmpty():
-                raise ValueError("a document has several values; index it by equality in one component")
+                raise ValueError("a document has several values; index it with several=True")
+        if chosen.product < cardinality:
+            raise ValueError(f"{cardinality} values don't fit the basis {chosen.bases}")
+        entry = ColumnEntry(column_path, dict(words.dtypes)["value"], encoding, index_type, chosen, cardinality, accuracy)
         digits = F.array(*(F.struct(F.lit(i).alias("component"), enc.slots_of(encoding, chosen.base(i), d).alias("slots")) for i, d in enumerate(chosen.digit_columns(F.col("rank")))))
         placed = words.join(ranks, "value").select("rg_id", "w", "bits", F.explode(digits).alias("d"))
         placed = placed.select("rg_id", F.col("d.component").alias("component"), F.explode("d.slots").alias("slot"), "w", "bits")
@@ -238,7 +259,8 @@ class BitmapIndex:
         if not used <= set(self.entries):
             return IndexResult(IndexAccuracy.NONE, None)
         accuracy = min((self.entries[c].accuracy for c in used), key=lambda a: a.value)
-        return IndexResult(accuracy, bitset.unpack(self.words(predicate), ["rg_id"]))
+        words = self.words(predicate)
+        return IndexResult(accuracy, bitset.unpack(words, ["rg_id"]), words)
 
     def lookup(self, value: Any, column: str | None = None) -> DataFrame:
         """(rg_id, doc) whose value equals ``value``."""
@@ -252,15 +274,18 @@ class BitmapIndex:
         """The rows of ``df`` that satisfy ``predicate``.
 
         By accuracy: EXACT, those whose ids are found; COARSE, of those, the rows that
-        satisfy ``residual`` (the predicate itself by default); NONE, a plain filter.
+        satisfy ``residual`` (the predicate itself by default); NONE, a plain filter. Rows
+        meet words, one for up to 64 ids, and test a bit.
         """
         found = self.find(predicate)
         check = predicate.as_column() if residual is None else residual
         if found.accuracy is IndexAccuracy.NONE:
             return df.where(check)
         group = F.lit(0) if rg_id is None else rg_id
-        docs = found.docs.select(F.col("rg_id").alias("_rg"), F.col("doc").alias("_doc"))
-        kept = df.join(docs, (F.col(doc) == F.col("_doc")) & (group.cast("int") == F.col("_rg")), "left_semi")
+        words = found.words.select(F.col("rg_id").alias("_rg"), F.col("w").alias("_w"), F.col("bits").alias("_bits"))
+        own = F.col(doc).cast("long")
+        held = F.bit_get("_bits", own.bitwiseAND(63).cast("int")) == 1
+        kept = df.join(words, (bitset.word(own) == F.col("_w")) & (group.cast("int") == F.col("_rg")) & held, "left_semi")
         return kept.where(check) if found.accuracy is IndexAccuracy.COARSE else kept
 
     # parts

@@ -8,14 +8,16 @@ from pyspark.sql import functions as F
 from slotwise.operators.predicates import Both, Compare, Not, Predicate
 
 
-def zone_map(df: DataFrame, column: str, rg_id: Column) -> DataFrame:
+def zone_map(df: DataFrame, column: str, rg_id: Column, doc: str | None = None) -> DataFrame:
     """(rg_id, min_value, max_value, sum_value, n) of the column's values; nulls don't count.
+    With ``doc``, also first_doc and last_doc: the range of the row group's ids.
 
     Sums of whole numbers are 64-bit and fail on overflow. A row group without values has
     nulls, and n = 0.
     """
     value = F.col(column)
-    return df.groupBy(rg_id.alias("rg_id")).agg(F.min(value).alias("min_value"), F.max(value).alias("max_value"), F.sum(value).alias("sum_value"), F.count(value).alias("n"))
+    ids = [F.min(doc).alias("first_doc"), F.max(doc).alias("last_doc")] if doc else []
+    return df.groupBy(rg_id.alias("rg_id")).agg(F.min(value).alias("min_value"), F.max(value).alias("max_value"), F.sum(value).alias("sum_value"), F.count(value).alias("n"), *ids)
 
 
 def as_double(zones: DataFrame) -> DataFrame:
@@ -36,7 +38,15 @@ def may_hold(predicate: Predicate) -> Column:
     return F.coalesce(held, F.lit(False))
 
 
-def pruned(df: DataFrame, zones: DataFrame, rg_id: Column, predicate: Predicate) -> DataFrame:
-    """The rows that satisfy ``predicate``, read from row groups that may have any."""
-    keep = zones.where(may_hold(predicate)).select(F.col("rg_id").alias("_rg"))
+def pruned(df: DataFrame, zones: DataFrame, rg_id: Column, predicate: Predicate, doc: str | None = None) -> DataFrame:
+    """The rows that satisfy ``predicate``, read from row groups that may have any.
+
+    ``zones`` is a stored zone map. If it has the ranges of ids, and ``doc`` names their
+    column, the range of all row groups that are left becomes a filter of the scan.
+    """
+    kept = zones.where(may_hold(predicate))
+    if doc and "first_doc" in zones.columns:
+        first, last = kept.agg(F.min("first_doc"), F.max("last_doc")).first()
+        df = df.where(F.lit(False)) if first is None else df.where(F.col(doc).between(first, last))
+    keep = kept.select(F.col("rg_id").alias("_rg"))
     return df.join(keep, rg_id == F.col("_rg"), "left_semi").where(predicate.as_column())

@@ -6,6 +6,7 @@ states the predicate on the table, independent of any encoding.
 
 from __future__ import annotations
 
+import itertools
 import uuid
 from collections.abc import Callable
 
@@ -20,7 +21,7 @@ from slotwise.operators.encoding import Encoding, IndexType
 from slotwise.operators.index import BitmapIndex, ColumnReference, coarse, coarse_index, dictionary
 from slotwise.operators.predicates import Compare, IntervalFlags, Predicate, between
 from slotwise.sources import store
-from slotwise.sources.shared import shared_dir
+from slotwise.sources.shared import cut, shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -162,12 +163,23 @@ _query("bitmap_build", "SELECT doc_id // 64 AS w, count(*) AS n FROM documents W
 _query("bitmap_decode", _SET)(lambda spark, sf_dir: _set_of(spark, sf_dir, _GERMAN).docs())
 _query("bitmap_add_range", f"{_SET} UNION SELECT unnest(range(10, 150)) AS doc")(lambda spark, sf_dir: _set_of(spark, sf_dir, _GERMAN).add_range(10, 150).docs())
 _query("bitmap_flip", f"(({_SET}) EXCEPT SELECT unnest(range(10, 150))) UNION (SELECT unnest(range(10, 150)) AS doc EXCEPT ({_SET}))")(lambda spark, sf_dir: _set_of(spark, sf_dir, _GERMAN).flip(10, 150).docs())
-_query("bitmap_contains", "SELECT v AS doc, v IN (SELECT doc_id FROM documents WHERE lang = 'de') AS held FROM range(0, 200) r(v)")(
-    lambda spark, sf_dir: spark.range(200)
-    .withColumnRenamed("id", "doc")
-    .join(_set_of(spark, sf_dir, _GERMAN).words, F.shiftright("doc", 6) == F.col("w"), "left")
-    .select("doc", F.coalesce(F.bit_get("bits", F.col("doc").bitwiseAND(63).cast("int")) == 1, F.lit(False)).alias("held"))
+_query("bitmap_contains", "SELECT doc_id AS doc, coalesce(lang = 'de', false) AS held FROM documents")(
+    lambda spark, sf_dir: _set_of(spark, sf_dir, _GERMAN).holds(_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc")), "doc")
 )
+_query("bitmap_add", f"{_SET} UNION SELECT unnest([3, 5000000]) AS doc")(lambda spark, sf_dir: _set_of(spark, sf_dir, _GERMAN).add(3).add(5_000_000).docs())
+_query("bitmap_clear", f"SELECT * FROM ({_SET}) WHERE false")(lambda spark, sf_dir: _set_of(spark, sf_dir, _GERMAN).clear().docs())
+_query("bitmap_in_order", f"SELECT doc, row_number() OVER (ORDER BY doc) - 1 AS place FROM ({_SET})")(
+    lambda spark, sf_dir: spark.createDataFrame(list(zip(_set_of(spark, sf_dir, _GERMAN), itertools.count())), "doc long, place long")
+)
+
+
+@_query("bitmap_round_trip", _SET)
+def bitmap_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = f"{shared_dir(spark)}/bitmap-{uuid.uuid4().hex}"
+    _set_of(spark, sf_dir, _GERMAN).write(at)
+    return BitMap.read(spark, at).docs()
+
+
 _query("bitmap_to_array", f"SELECT list(doc ORDER BY doc) AS docs FROM ({_SET})")(lambda spark, sf_dir: _set_of(spark, sf_dir, _GERMAN).as_array())
 _query("bitmap_cardinality", f"SELECT count(*) AS cardinality FROM ({_SET})")(lambda spark, sf_dir: _set_of(spark, sf_dir, _GERMAN).statistics().select("cardinality"))
 _query("bitmap_is_empty", "SELECT count(*) = 0 AS is_empty FROM documents WHERE lang = 'xx'")(lambda spark, sf_dir: _set_of(spark, sf_dir, "lang = 'xx'").statistics().select("is_empty"))
@@ -188,21 +200,49 @@ _query("zonemap_double", f"SELECT rg_id, CAST(min_value AS DOUBLE) AS min_value,
 @_query("zonemap_prune", "SELECT event_id, user_id FROM events WHERE event_id >= 500 AND event_id < 700")
 def zonemap_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = _table(spark, sf_dir, "events")
-    zones = zonemap.zone_map(events, "event_id", _group_of("event_id"))
-    return zonemap.pruned(events, zones, _group_of("event_id"), between("event_id", 500, 700, IntervalFlags.INCLUDE_LEFT)).select("event_id", "user_id")
+    zones = cut(zonemap.zone_map(events, "event_id", _group_of("event_id"), "event_id"))
+    return zonemap.pruned(events, zones, _group_of("event_id"), between("event_id", 500, 700, IntervalFlags.INCLUDE_LEFT), "event_id").select("event_id", "user_id")
 
 
 # stored indexes
 
 
-@_query("index_round_trip", _EVENTS + "user_id = 5 AND event_type = 'click'")
-def index_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _stored(spark: SparkSession, sf_dir: str, *columns: str) -> str:
     root = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
     builder, events = store.Builder(root), _table(spark, sf_dir, "events")
-    for column in ("user_id", "event_type"):
+    for column in columns:
         builder.add_index(events.select(_group_of("event_id").alias("rg_id"), F.col("event_id").alias("doc"), F.col(column).alias("value")), column, Encoding.INTERVAL)
     builder.save_all()
-    return store.load(spark, root).find(Compare("user_id", "=", 5) & _CLICK).docs.select("doc")
+    return root
+
+
+@_query("index_round_trip", _EVENTS + "user_id = 5 AND event_type = 'click'")
+def index_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.load(spark, _stored(spark, sf_dir, "user_id", "event_type")).find(Compare("user_id", "=", 5) & _CLICK).docs.select("doc")
+
+
+@_query("stored_ge", _EVENTS + "user_id >= 5")
+def stored_ge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.load(spark, _stored(spark, sf_dir, "user_id")).find(_FIVE).docs.select("doc")
+
+
+@_query("get_index_ge", _EVENTS + "user_id >= 5 AND event_id // 1000 = 0")
+def get_index_ge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.get_index(spark, _stored(spark, sf_dir, "user_id", "event_type"), 0, "user_id").find(_FIVE).docs.select("doc")
+
+
+@_query("slot_round_trip", _EVENTS + "event_type = 'click'")
+def slot_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
+    store.save(BitmapIndex.over(_table(spark, sf_dir, "events"), "event_id", ["event_type"], _group_of("event_id")), root)
+    index = store.load(spark, root)
+    rank = index.dictionaries["event_type"].where("value = 'click'").first()["rank"]
+    return bitset.unpack(index.slot("event_type", 0, rank)).select("doc")
+
+
+@_query("eq_multi_value", "SELECT DISTINCT l_orderkey AS doc FROM lineitem WHERE l_partkey = 17")
+def eq_multi_value(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return BitmapIndex.over(_table(spark, sf_dir, "lineitem"), "l_orderkey", ["l_partkey"], several=True).lookup(17).select("doc")
 
 
 @_query("existence_set", _EVENTS + "user_id IS NOT NULL")
@@ -210,9 +250,16 @@ def existence_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     return BitmapIndex.over(_table(spark, sf_dir, "events"), "event_id", ["user_id"], _group_of("event_id")).existence("user_id").select("doc")
 
 
-@_query("index_stats", None)
+_WORDS = "count(DISTINCT (event_id // 1000, event_id // 64{}))"
+_STATS = "SELECT 'event_type' AS column_path, CAST({} AS INTEGER) AS component, {} AS slots, {} AS words, count(*) AS documents, {} * 16 AS bytes FROM events WHERE event_type IS NOT NULL"
+
+
+@_query(
+    "index_stats",
+    _STATS.format(0, "count(DISTINCT event_type)", *[_WORDS.format(", event_type")] * 2) + " UNION ALL " + _STATS.format(-1, "CAST(1 AS BIGINT)", *[_WORDS.format("")] * 2),
+)
 def index_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return BitmapIndex.over(_table(spark, sf_dir, "events"), "event_id", ["user_id", "event_type"], _group_of("event_id"), encoding=Encoding.INTERVAL).statistics()
+    return BitmapIndex.over(_table(spark, sf_dir, "events"), "event_id", ["event_type"], _group_of("event_id")).statistics()
 
 
 def queries() -> dict[str, Query]:

@@ -29,5 +29,5 @@ def ingest(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
 
 def index_of(spark: SparkSession, path: str, column_path: str = "value", **how) -> BitmapIndex:
     """An index of everything ingested under ``path``."""
-    words = spark.read.parquet(path)
-    return BitmapIndex.build(bitset.unpack(words, ["rg_id", "value"]).select("rg_id", "doc", "value"), column_path, **how)
+    words = spark.read.parquet(path).groupBy("rg_id", "value", "w").agg(F.bit_or("bits").alias("bits"))
+    return BitmapIndex.of_words(words, column_path, **how)

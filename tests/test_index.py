@@ -111,8 +111,8 @@ def test_bounds(spark):
     with pytest.raises(ValueError, match="fit"):
         _index(spark, SMALL, basis=(3,))
     with pytest.raises(ValueError, match="several values"):
-        _index(spark, [(1, 2), (1, 3)], encoding=Encoding.RANGE, check_single=True)
-    many = _index(spark, [(1, 2), (1, 3), (2, 3)])
+        _index(spark, [(1, 2), (1, 3)], encoding=Encoding.RANGE)
+    many = _index(spark, [(1, 2), (1, 3), (2, 3)], several=True)
     assert _ids(many, Compare("value", "=", 3)) == [1, 2] and _ids(many, Compare("value", "=", 2)) == [1]
     assert default_basis(IndexType.BITMAP, 256).bases == (256,) and default_basis(IndexType.BITMAP, 257).bases == (16, 16, 16)
     assert _ids(_index(spark, [(1, None)]), Compare("value", ">=", 0)) == []
@@ -174,3 +174,68 @@ def test_streamed_documents(spark, tmp_path):
         ingest(spark.readStream.schema(schema).parquet(source), stored, str(tmp_path / "check")).awaitTermination()
     index = index_of(spark, stored, encoding=Encoding.INTERVAL)
     assert _ids(index, Compare("value", "=", 5)) == [16, 19, 115, 117, 130]
+
+
+@pytest.mark.parametrize("cardinality", [256, 257, 300])
+def test_several_values_a_document(spark, cardinality):
+    rows = [(d, v) for v in range(cardinality) for d in {v % 40, (v * 7) % 40}] + [(50, 1), (50, 16)]
+    index = _index(spark, rows, several=True)
+    for v in (0, 1, 5, 16, 17, 255):
+        assert sorted(r["doc"] for r in index.lookup(v).collect()) == sorted({d for d, x in rows if x == v})
+    assert _ids(index, Compare("value", "<=", 3)) == sorted({d for d, x in rows if x <= 3})
+    for how in ({}, {"encoding": Encoding.RANGE}, {"encoding": Encoding.INTERVAL}, {"index_type": IndexType.BITSLICED}):
+        with pytest.raises(ValueError, match="several values"):
+            _index(spark, rows, **how)
+        if how:
+            with pytest.raises(ValueError, match="one component"):
+                _index(spark, rows, several=True, **how)
+
+
+def test_a_save_that_fails_leaves_the_old_column(spark, tmp_path, monkeypatch):
+    root = str(tmp_path)
+    store.save(_index(spark, SMALL), root)
+
+    def fail(*_):
+        raise OSError("lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(store, "_commit", fail)
+        with pytest.raises(OSError):
+            store.save(_index(spark, [(1, 4), (2, 9)]), root)
+    assert sorted(r["doc"] for r in store.load(spark, root).lookup(4).collect()) == [15, 17, 30]
+    store.save(_index(spark, [(1, 4), (2, 9)]), root)
+    again = store.load(spark, root)
+    assert sorted(r["doc"] for r in again.lookup(4).collect()) == [1] and again.entries["value"].cardinality == 2
+    assert len(list((tmp_path / "rows" / "column_path=value").glob("version=*"))) == 1
+
+
+def test_release_while_another_builds(spark):
+    import threading
+
+    cache, go, begun = store.OpenIndexes(), threading.Event(), threading.Event()
+
+    def make():
+        begun.set()
+        go.wait(30)
+        return _index(spark, SMALL)
+
+    maker = threading.Thread(target=lambda: cache.reserve("x", make))
+    maker.start()
+    begun.wait(30)
+    with pytest.raises(store.IndexNotFound):
+        cache.release("x")
+    go.set()
+    maker.join()
+    assert cache.get("x") is not None
+    cache.release("x")
+    assert len(cache) == 0
+
+
+def test_pruned_reads_a_range(spark, tmp_path):
+    spark.range(10_000).selectExpr("id AS doc", "id * 3 AS v").write.parquet(str(tmp_path / "t"))
+    table, group = spark.read.parquet(str(tmp_path / "t")), F.floor(F.col("doc") / 1000).cast("int")
+    zones = zonemap.zone_map(table, "v", group, "doc")
+    found = zonemap.pruned(table, zones, group, between("v", 6100, 8000), "doc")
+    assert found.count() == sum(6100 <= 3 * i <= 8000 for i in range(10_000))
+    assert "GreaterThanOrEqual(doc,2000)" in found._jdf.queryExecution().executedPlan().toString()
+    assert zonemap.pruned(table, zones, group, Compare("v", "<", 0), "doc").count() == 0
