@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -13,15 +14,25 @@ from pyspark.sql import functions as F
 from .common import arrow_map, cut
 from .quality import fold_of
 
-#: Bounds of the fit: labelled texts, and voters beside the lexicon.
-FIT_ROWS, MINED = 20_000, 384
+#: Bound of the fit: labelled texts.
+FIT_ROWS = 20_000
 #: A mined voter is in so many unlike toxic texts at least, and so rarely in others.
 SUPPORT, PRECISION = 5, 0.9
+#: A mined voter is left out where it adds fewer than SUPPORT toxic texts to those that so many
+#: others match already.
+DEPTH = 3
+#: Words that a worker remembers.
+_SEEN = 100_000
 #: A document is taken to be toxic from this score up.
 TOXIC = 0.7
 
-# The lexicon of abuse.
-LEXICON = ("idiot", "idiots", "moron", "morons", "stupid", "loser", "losers", "scum", "trash", "clown", "pathetic", "worthless", "disgusting", "dumb", "hate", "ugly", "shut", "jerk", "fool", "garbage")
+# The lexicon of abuse, in English, German, French and Spanish.
+LEXICON = (
+    *("idiot", "idiots", "moron", "morons", "stupid", "loser", "losers", "scum", "trash", "clown", "pathetic", "worthless", "disgusting", "dumb", "hate", "ugly", "shut", "jerk", "fool", "garbage"),
+    *("idioten", "trottel", "dummkopf", "versager", "abschaum", "ekelhaft", "erbärmlich", "wertlos"),
+    *("idiote", "imbécile", "crétin", "racaille", "ordure", "minable", "dégoûtant", "débile"),
+    *("idiota", "imbécil", "estúpido", "escoria", "asqueroso", "patético", "perdedor", "inútil"),
+)
 
 _WORD = re.compile(r"[^\W\d_]+")
 _PREFIXES = (4, 5, 6, 7)
@@ -34,7 +45,8 @@ def features(word: str) -> list[str]:
 
 class Voters:
     """Lexicon words and mined patterns, each of which votes for toxic where it matches, and
-    two that count matches: several lexicon words; none of any voter, which votes against."""
+    two that count matches: several lexicon words; several voters, which votes against if
+    there is none."""
 
     def __init__(self, mined: Iterable[str]):
         self.names = [*(f"={w}" for w in LEXICON), *sorted(set(mined) - {f"={w}" for w in LEXICON})]
@@ -45,9 +57,9 @@ class Voters:
     def matched(self, text: str | None) -> set[int]:
         """The voters, by index, that match a whole text."""
         seen, found = self.seen, set()
-        for word in set(_WORD.findall((text or "").lower())):
+        for word in words_of(text):
             if (hit := seen.get(word)) is None:
-                if len(seen) > 500_000:
+                if len(seen) > _SEEN:
                     seen.clear()
                 hit = seen[word] = tuple(i for x in features(word) if (i := self.index.get(x)) is not None)
             if hit:
@@ -56,52 +68,54 @@ class Voters:
 
     def votes(self, text: str | None) -> np.ndarray:
         """1 for toxic, -1 against, 0 for none."""
+        return self.votes_of(self.matched(text))
+
+    def votes_of(self, found: set[int]) -> np.ndarray:
         out = np.zeros(self.size, np.int8)
-        if found := self.matched(text):
+        if found:
             out[list(found)] = 1
             out[-2] = sum(i < len(LEXICON) for i in found) > 1
-        else:
-            out[-1] = -1
+        out[-1] = 1 if len(found) > 1 else 0 if found else -1
         return out
 
 
 class LabelModel:
-    """A generative model of votes given a hidden label.
+    """A generative model of votes given a hidden label, fitted to the votes alone.
 
-    Each voter's chance to vote, by label, is estimated by expectation maximisation that
-    starts at the given labels and holds them as one more, fallible voter. Voters that agree
-    beyond what the labels explain (their correlation within a class) share their weight.
+    A voter that votes is right with an accuracy of its own; silence says nothing. Expectation
+    maximisation starts at the majority of the votes and estimates accuracies from where each
+    voter agrees with what all together say. Voters that go together within a class more than
+    chance has it (their correlation) share their weight. ``prior`` is the share of toxic texts.
     """
 
-    def __init__(self, votes: np.ndarray, labels: np.ndarray, rounds: int = 10, trust: float = 0.98):
+    def __init__(self, votes: np.ndarray, prior: float, rounds: int = 10):
+        self.prior = float(np.clip(prior, 0.01, 0.99))
         on = (votes != 0).astype(np.float64)
-        given = np.where(labels > 0.5, trust, 1 - trust)
-        posterior = given.copy()
+        total = votes.sum(axis=1)
+        posterior = np.where(total > 0, 0.9, np.where(total < 0, 0.1, self.prior))
         for _ in range(rounds):
-            self.prior = np.clip(posterior.mean(), 1e-3, 1 - 1e-3)
-            self.chance = np.stack([self._share(on, 1 - posterior), self._share(on, posterior)])
+            right = np.where(votes > 0, posterior[:, None], 1 - posterior[:, None]) * on
+            self.accuracy = np.clip((right.sum(axis=0) + 4) / (on.sum(axis=0) + 5), 0.05, 0.999)  # 0.8 without any vote
             self.share = self._shared(on, posterior)
-            evidence = self._evidence(on) + np.log(given / (1 - given))
-            posterior = 1 / (1 + np.exp(-np.clip(evidence, -30, 30)))
+            posterior = self.posterior_of(votes)
         self.posterior = posterior
 
-    @staticmethod
-    def _share(on: np.ndarray, of: np.ndarray) -> np.ndarray:
-        return (of @ on + 0.5) / (of.sum() + 1)
-
     def _shared(self, on: np.ndarray, posterior: np.ndarray) -> np.ndarray:
         """By voter: one over the voters that it amounts to together with."""
-        weight = np.sqrt(np.stack([1 - posterior, posterior]))
-        excess = sum(w[:, None] ** 2 * (on - c) for w, c in zip(weight, self.chance))
-        spread = np.sqrt((excess**2).sum(axis=0)) + 1e-9
-        correlation = np.clip((excess.T @ excess) / np.outer(spread, spread), 0, 1)
+        excess = np.zeros((on.shape[1],) * 2)
+        spread = np.zeros(on.shape[1])
+        for w in (posterior, 1 - posterior):
+            part = (on - (w @ on + 0.5) / (w.sum() + 1)) * np.sqrt(w)[:, None]
+            excess += part.T @ part
+            spread += (part**2).sum(axis=0)
+        spread = np.sqrt(spread) + 1e-9
+        correlation = np.clip(excess / np.outer(spread, spread), 0, 1)
         np.fill_diagonal(correlation, 1)
         return 1 / (correlation**2).sum(axis=0)
 
-    def _evidence(self, on: np.ndarray) -> np.ndarray:
-        ratio = np.log(self.chance[1] / self.chance[0])
-        silent = np.log((1 - self.chance[1]) / (1 - self.chance[0]))
-        return on @ (ratio * self.share) + (1 - on) @ (silent * self.share) + np.log(self.prior / (1 - self.prior))
+    def posterior_of(self, votes: np.ndarray) -> np.ndarray:
+        weight = np.log(self.accuracy / (1 - self.accuracy)) * self.share
+        return 1 / (1 + np.exp(-np.clip(votes @ weight + np.log(self.prior / (1 - self.prior)), -30, 30)))
 
 
 class Linear:
@@ -121,40 +135,97 @@ class Linear:
             if np.abs(step).max() < 1e-6:
                 break
 
+    def logit(self, votes: np.ndarray) -> np.ndarray:
+        return votes @ self.weights[:-1] + self.weights[-1]
+
+    def calibrated(self, votes: np.ndarray, labels: np.ndarray) -> Linear:
+        """With slope and offset of the logit, which alone see ``labels``, fitted to them."""
+        x = np.stack([self.logit(votes), np.ones(len(votes))], axis=1)
+        start = np.array([1.0, 0.0])
+        loss = lambda at: np.logaddexp(0, x @ at).sum() - labels @ (x @ at) + ((at - start) ** 2).sum() / 2
+        at = start.copy()
+        for _ in range(50):  # Newton's method, with steps that are halved until they help
+            p = 1 / (1 + np.exp(-np.clip(x @ at, -30, 30)))
+            step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.eye(2), x.T @ (p - labels) + at - start)
+            while loss(at - step) > loss(at) and np.abs(step).max() > 1e-9:
+                step /= 2
+            at = at - step
+            if np.abs(step).max() < 1e-6:
+                break
+        self.weights *= at[0]
+        self.weights[-1] += at[1]
+        return self
+
     def score(self, votes: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(votes @ self.weights[:-1] + self.weights[-1], -30, 30)))
+        return 1 / (1 + np.exp(-np.clip(self.logit(votes), -30, 30)))
 
 
-def mine(sample: DataFrame, most: int = MINED) -> list[str]:
-    """The patterns of ``sample`` (label, t) that tell toxic texts best.
+def words_of(text: str | None) -> set[str]:
+    return set(_WORD.findall((text or "").lower()))
 
-    Each counts unlike texts only: those of one signature, the least hash of their words, are
-    likely near copies and count once.
+
+def mine(sample: DataFrame) -> list[str]:
+    """All patterns that tell toxic texts of ``sample`` (id, label, t) by SUPPORT and PRECISION.
+
+    Each counts unlike texts only: of those of one signature, the least hash of their words,
+    which are likely near copies, one counts (a toxic one if there is any, then the least id).
+    Tasks count, so that a row for each pattern and task is all that moves; patterns of toxic
+    texts come first, and the others are asked for these alone.
     """
 
-    def matches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for x in batches:
-            for at in range(0, x.num_rows, 256):
-                part = x.slice(at, 256)
-                signatures, found = [], []
-                for text in part["t"].to_pylist():
-                    words = set(_WORD.findall((text or "").lower()))
-                    signatures.append(min((xxhash.xxh64_intdigest(w) >> 1 for w in words), default=0))
-                    found.append(sorted({f for w in words for f in features(w)}))
-                yield pa.RecordBatch.from_arrays([part["label"], pa.array(signatures, pa.int64()), pa.array(found, pa.list_(pa.string()))], names=["label", "signature", "found"])
-
-    each = arrow_map(sample.select("label", "t"), matches, "label double, signature long, found array<string>")
-    unlike = each.select("label", "signature", F.explode("found").alias("x")).groupBy("x", "signature").agg(F.max("label").alias("label"))
-    counts = unlike.groupBy("x").agg(F.sum("label").alias("toxic"), F.count(F.lit(1)).alias("n"))
-    good = counts.where((F.col("toxic") >= SUPPORT) & (F.col("toxic") >= PRECISION * F.col("n")))
-    return [r["x"] for r in good.orderBy(F.col("toxic").desc(), "x").limit(most).collect()]
+            least = [min((xxhash.xxh64_intdigest(w) >> 1 for w in words_of(t)), default=0) for t in x["t"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([x["id"], x["label"], pa.array(least, pa.int64())], names=["id", "label", "signature"])
+
+    def counted(known: set[str] | None):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            found: Counter[str] = Counter()
+            for x in batches:
+                for text in x["t"].to_pylist():
+                    own = {f for w in words_of(text) for f in features(w)}
+                    found.update(own if known is None else own & known)
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["x", "n"])
+
+        return run
+
+    signatures = arrow_map(sample.select("id", "label", "t"), signed, "id long, label double, signature long")
+    one = signatures.groupBy("signature").agg(F.min(F.struct((-F.col("label")).alias("order"), "id")).alias("first"))
+    unlike = cut(sample.join(F.broadcast(one.select(F.col("first.id").alias("id"))), "id").select("label", "t"))  # FIT_ROWS ids at most
+    number = lambda texts, known: arrow_map(texts.select("t"), counted(known), "x string, n long").groupBy("x").agg(F.sum("n").alias("n"))
+    # all that is collected is of at most FIT_ROWS texts
+    toxic = {r["x"]: r["n"] for r in number(unlike.where("label > 0.5"), None).where(F.col("n") >= SUPPORT).collect()}
+    clean = {r["x"]: r["n"] for r in number(unlike.where("label <= 0.5"), set(toxic)).collect()}
+    return sorted(x for x, n in toxic.items() if n >= PRECISION * (n + clean.get(x, 0)))
+
+
+def needed(matched: list[list[int]], toxic: np.ndarray, first: int) -> list[int]:
+    """Of the voters from ``first`` on, those that add to what the others match: by falling
+    number of toxic texts (ties: the lower index), one is taken if it matches SUPPORT of them
+    that fewer than DEPTH taken ones match. ``matched`` has each text's voters."""
+    texts: dict[int, list[int]] = {}
+    for i in np.flatnonzero(toxic):
+        for v in matched[i]:
+            if v >= first:
+                texts.setdefault(v, []).append(i)
+    depth, taken = np.zeros(len(matched), np.int64), []
+    for v in sorted(texts, key=lambda v: (-len(texts[v]), v)):
+        own = np.array(texts[v])
+        if (depth[own] < DEPTH).sum() >= SUPPORT:
+            taken.append(v)
+            depth[own] += 1
+    return taken
 
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str, fold: tuple[int, int], id_col: str = "doc_id", text_col: str = "text", rows: int = FIT_ROWS) -> tuple[Voters, Linear]:
     """Voters and classifier from at most ``rows`` labelled texts outside the held-out fold. Of
-    several texts with one id, the least is taken."""
+    several texts with one id, the least is taken.
+
+    Labels choose patterns, give the share of toxic texts, and calibrate. What a voter's vote
+    is worth comes from the label model, which sees votes only.
+    """
     count, held = fold
     known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("double").alias("label")).where("id IS NOT NULL AND label IS NOT NULL")
     known = known.where(fold_of("id", count) != held).groupBy("id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("id"), "id").limit(rows)
@@ -163,28 +234,34 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str, fold: tuple[int, int
     sample = cut(texts.select("id", "label", "t"))
     voters = Voters(mine(sample))
 
-    def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            found = pa.array([voters.votes(t).tobytes() for t in x["t"].to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([x["id"], x["label"], found], names=["id", "label", "votes"])
+            found = pa.array([sorted(voters.matched(t)) for t in x["t"].to_pylist()], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([x["id"], x["label"], found], names=["id", "label", "matched"])
 
-    got = arrow_map(sample, vote, "id long, label double, votes binary").toArrow().sort_by([("id", "ascending"), ("votes", "ascending")])
-    votes = np.frombuffer(b"".join(got["votes"].to_pylist()), np.int8).reshape(-1, voters.size)
-    if not len(votes):
-        return voters, Linear(votes, np.empty(0))
-    return voters, Linear(votes, LabelModel(votes, got["label"].to_numpy()).posterior)
+    got = arrow_map(sample, match, "id long, label double, matched array<int>").toArrow().sort_by([("id", "ascending")])
+    label, matched = got["label"].to_numpy(), got["matched"].to_pylist()
+    if not len(label):
+        return Voters([]), Linear(np.zeros((0, len(LEXICON) + 2), np.int8), np.empty(0))
+    kept = Voters(voters.names[v] for v in needed(matched, label > 0.5, len(LEXICON)))
+    place = {v: kept.index[x] for v, x in enumerate(voters.names) if x in kept.index}
+    votes = np.stack([kept.votes_of({place[v] for v in m if v in place}) for m in matched])
+    model = LabelModel(votes, label.mean())
+    return kept, Linear(votes, model.posterior).calibrated(votes, label)
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", fold: tuple[int, int] = (3, 1), id_col: str = "doc_id", text_col: str = "text", toxic: float = TOXIC) -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, score, predicted.
 
     Voters are the lexicon and patterns mined from a bounded set of labelled texts. A label
-    model weighs their votes into posterior labels, and a linear classifier learns these. Its
-    weights, one a voter, are broadcast, and every whole text is scored.
+    model estimates their accuracies and correlations from their votes and weighs these into
+    posterior labels, which a linear classifier learns. Its weights, one a voter, are
+    broadcast, and every whole text is scored, however long it is.
 
     A null text is empty; no voter matches it. A null doc_id is in the fold of the empty text.
-    Without any label, scores are a half. Repeated rows come out as they come in; other
-    columns are ignored; an empty table gives an empty result.
+    Without any label, scores are a half. Ties in the fit go to the least id, text or pattern.
+    Repeated rows come out as they come in; other columns are ignored; an empty table gives an
+    empty result.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("t"))
     rows = rows.select("doc_id", (fold_of("doc_id", fold[0]) == fold[1]).alias("held_out"), "t")
@@ -199,7 +276,9 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, label_col: str = "toxic"
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", fold: tuple[int, int] = (3, 1), id_col: str = "doc_id", text_col: str = "text", toxic: float = TOXIC) -> DataFrame:
-    """The rows of ``docs``, whole, that score below ``toxic``."""
+    """The rows of ``docs``, whole, that score below ``toxic``: nulls, empty and very long
+    texts, repeated rows and empty tables as in ``toxicity_scores``; columns keep their names,
+    whatever these are."""
     score = _scorer(docs, labels, label_col, fold, id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
