@@ -264,6 +264,8 @@ def _assembled(docs: DataFrame, path: str, id_col: str, text_col: str, schema: s
     # a bucket then holds about as many words as a partition of the input has distinct ones, at most
     buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows.rdd.getNumPartitions())
     words = arrow_map(rows, _distinct(buckets), "bucket int, chunk long, words binary")
-    found = words.groupBy("bucket").applyInArrow(_encode(path), "chunk long, entries binary, ids binary")
+    # as many tasks as the documents have, or more: what a task gathers doesn't grow with the input
+    found = words.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_encode(path), "chunk long, entries binary, ids binary")
     chunks = arrow_map(rows, _documents, "chunk long, docs binary, places binary, checks binary")
+    chunks, found = chunks.repartition(buckets, "chunk"), found.repartition(buckets, "chunk")
     return chunks.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(_together(path, schema, finish), f"doc_id long, {schema}")
