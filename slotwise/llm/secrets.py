@@ -26,15 +26,17 @@ _NAME = r"(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][
 _ASSIGN = re.compile(_NAME + r"""["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{32,}")  # runs are maximal, so this is the pattern and its length at once
-_SIGNED = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
-_PEM = re.compile(r"-----BEGIN [A-Z0-9 ]{0,40}KEY-----([A-Za-z0-9+/=\s]+)-----END [A-Z0-9 ]{0,40}KEY-----")
+_DOTTED = re.compile(r"[A-Za-z0-9_.-]+")  # maximal runs, each looked through once
+_PEM = re.compile(r"-----BEGIN [A-Z0-9 ]{0,40}KEY-----((?:[A-Za-z0-9+/=\s]|\\[nr])+)-----END [A-Z0-9 ]{0,40}KEY-----")
+_BREAK = re.compile(r"\s+|\\[nr]")  # line ends as they are, or as JSON escapes them
 _BASE64 = re.compile(r"[A-Za-z0-9+/]{40,}={0,2}")
+_BASE64URL = re.compile(r"[A-Za-z0-9_-]{40,}={0,2}")
 _LONG_HEX = re.compile(r"[0-9a-fA-F]{64,}")
 
 #: What a text must hold, in a dialect that Arrow evaluates over whole batches, to have any
 #: span. A text that it rejects has none.
 _MAY_HOLD = "|".join(
-    (_NAME + r"""["']? *[:=] *["']?[A-Za-z0-9+/_.=-]{8}""", r"AKIA[A-Z0-9]{12}", r"[0-9a-f]{32}", r"eyJ[A-Za-z0-9_-]+\.", r"-----BEGIN ", r"[A-Za-z0-9+/]{40}", r"[0-9a-fA-F]{64}")
+    (_NAME + r"""["']? *[:=] *["']?[A-Za-z0-9+/_.=-]{8}""", r"AKIA[A-Z0-9]{12}", r"[0-9a-f]{32}", r"eyJ[A-Za-z0-9_-]+\.", r"-----BEGIN ", r"[A-Za-z0-9+/]{40}", r"[A-Za-z0-9_-]{40}", r"[0-9a-fA-F]{64}")
 )
 
 
@@ -48,10 +50,11 @@ def base_spans(text: str) -> list[Span]:
 
 def confirmed_spans(text: str) -> list[Span]:
     """Candidates whose decoded bytes have the structure of a key or a signed token."""
-    found = [("jwt", m.start(), m.end()) for m in _SIGNED.finditer(text) if is_signed_token(m[0])]
-    keys = [(m.start(), m.end(), "".join(m[1].split()), False) for m in _PEM.finditer(text)]
+    found = [("jwt", m.start() + a, m.start() + b) for m in _DOTTED.finditer(text) if "eyJ" in m[0] for a, b in signed_tokens(m[0])]
+    keys = [(m.start(), m.end(), _BREAK.sub("", m[1]), False) for m in _PEM.finditer(text)]
     inside = lambda m: any(a <= m.start() and m.end() <= b for a, b, _, _ in keys)
     bare = [(m.start(), m.end(), m[0], False) for m in _BASE64.finditer(text) if not inside(m)]
+    bare += [(m.start(), m.end(), m[0].replace("-", "+").replace("_", "/"), False) for m in _BASE64URL.finditer(text) if ("-" in m[0] or "_" in m[0]) and not inside(m)]
     bare += [(m.start(), m.end(), m[0], True) for m in _LONG_HEX.finditer(text)]
     for start, end, body, is_hex in keys + bare:
         raw = _decoded(body, is_hex)
@@ -81,15 +84,57 @@ def _decoded(body: str, is_hex: bool) -> bytes:
         return b""
 
 
-def is_signed_token(token: str) -> bool:
-    """Three base64url parts: a JSON header that names an algorithm, a JSON object, a signature."""
-    header, claims, signature = token.split(".")
+def _object(raw: bytes, at: int = 0):
+    """The JSON object that fills ``raw`` from ``at`` to its end, else None."""
     try:
-        head, body = (json.loads(base64.urlsafe_b64decode(x + "=" * (-len(x) % 4))) for x in (header, claims))
+        text = raw[at:].decode() if at else raw.decode()
+        found = json.loads(text)
     except (ValueError, RecursionError):
-        return False
-    named = isinstance(head, dict) and isinstance(head.get("alg"), str)
-    return named and isinstance(body, dict) and (bool(signature) or head["alg"].lower() == "none")
+        return None
+    return found if isinstance(found, dict) else None
+
+
+def signed_tokens(run: str) -> list[tuple[int, int]]:
+    """(start, end) of the signed tokens in a run of base64url parts with dots.
+
+    A token has three parts: a JSON header that names an algorithm, a JSON object, a signature
+    (which an unsigned token may lack). The header may begin anywhere in its part, behind
+    other letters, so its part is decoded in each of the four ways in which it may be aligned,
+    and the leftmost header that fits is taken (behind other letters, a flat one). Tokens
+    don't overlap.
+    """
+    parts, found, at = run.split("."), [], 0
+    starts = [0]
+    for p in parts:
+        starts.append(starts[-1] + len(p) + 1)
+    for i in range(len(parts) - 2):
+        if starts[i] < at or "eyJ" not in parts[i] or not parts[i + 1].startswith("ey") or _object(_safe(parts[i + 1])) is None:
+            continue
+        best = None
+        named = lambda x: isinstance(x, dict) and isinstance(x.get("alg"), str) and (bool(parts[i + 2]) or x["alg"].lower() == "none")  # noqa: B023, E731
+        if named(_object(_safe(parts[i]))):
+            best = 0
+        for k in range(4):
+            raw = _safe(parts[i][k:])
+            head = _HEADER.search(raw)  # the last object of the part
+            if head and head.start() % 3 == 0 and named(_object(raw, head.start())):
+                start = k + head.start() // 3 * 4
+                best = start if best is None else min(best, start)
+        if best is not None:
+            at = starts[i + 2] + len(parts[i + 2])
+            found.append((starts[i] + best, at))
+    return found
+
+
+#: The last flat JSON object of some bytes, up to their end; headers of tokens are flat.
+_HEADER = re.compile(rb'\{"[^{}]*\}\Z')
+
+
+def _safe(part: str) -> bytes:
+    try:
+        return base64.urlsafe_b64decode(part + "=" * (-len(part) % 4))
+    except (ValueError, binascii.Error):
+        return b""
 
 
 def _elements(raw: bytes, start: int, end: int) -> list[tuple[int, int, int]] | None:
@@ -165,8 +210,9 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     kind:start:end in code points, end exclusive, by start and then kind, comma-joined;
     base_sha256 is over those of the base kinds.
 
-    Whole texts are scanned; Arrow first sets aside texts that can't hold any span. Null and
-    empty texts have none. Repeated rows and null doc_ids come out as they come in; other
+    Whole texts are scanned, in time that grows with their length, however long they are;
+    Arrow first sets aside texts that can't hold any span. Null and empty texts have none. Ties
+    of start go by kind, then end. Repeated rows and null doc_ids come out as they come in; other
     columns are ignored; an empty table gives an empty result.
     """
     none = hashlib.sha256(b"").hexdigest()
@@ -190,7 +236,9 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def redact(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
     """``docs`` with the secrets of ``text_col`` replaced by a marker, and ``length_col`` (if it
-    is a column) set to the new number of characters where a text changed."""
+    is a column) set to the new number of characters where a text changed. Null and empty texts
+    stay as they are, and so do all rows, repeated ones too; columns keep their names, whatever
+    these are; an empty table gives an empty result."""
     measured = length_col in docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
