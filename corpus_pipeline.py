@@ -2,7 +2,8 @@
 
 Counts as part of ``slotwise.llm``. Each stage is (name, function); a function takes
 (spark, docs, sf_dir) and returns what the next one gets, written as Parquet and reread.
-All but the last return the columns of ``documents``.
+All but the last return the columns of ``documents``, extra ones with any names too. Very long
+texts are taken whole, and an empty table gives an empty one, in every stage.
 """
 
 from __future__ import annotations
@@ -15,27 +16,30 @@ from slotwise.llm.queries import vocabulary
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents that op10 predicts to be toxic."""
+    """Without the documents that op10 predicts to be toxic. Null and empty texts have no voter
+    that matches and stay; so do null doc_ids and repeated rows."""
     return toxicity.without_toxic(docs, labels(spark, sf_dir))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the row with the largest doc_id."""
+    """Of equal texts, the row with the largest doc_id (a null one if there is no other). Null
+    and empty texts are equal; of rows that tie, one stays."""
     return exact_dedup.without_copies(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of texts with five-word Jaccard similarities of 0.8 or more, the row with the smallest doc_id."""
+    """Of each group of texts with five-word Jaccard similarities of 0.8 or more, the row with
+    the smallest doc_id (a null one if there is no other). Texts without words are alike."""
     return near_copies.without_near_copies(docs)
 
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, its secrets replaced by a marker."""
+    """Every document, its secrets replaced by a marker and n_chars set anew. Null texts stay."""
     return secrets.redact(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token pieces of all documents in sequences of 1024."""
+    """The token pieces of all documents in sequences of 1024. A null text has the end id only."""
     return packing.pack(docs, vocabulary("byte_bpe_50k.json"))
 
 

@@ -255,7 +255,8 @@ def _assembled(docs: DataFrame, path: str, id_col: str, text_col: str, schema: s
     read twice and must then come in the same partitions, as from a table; a byte of every
     word's hash is compared, and a difference is an error.
 
-    Null texts are empty and have no ids. Repeated rows and null doc_ids come out as they come
+    Null texts are empty and have no ids. A very long text is a chunk of its own. Ties of words'
+    frequencies go to the word seen first, and no result depends on them. Repeated rows and null doc_ids come out as they come
     in; other columns are ignored; an empty table gives an empty result.
     """
     if tokenizer(path).decoder is not None or not _lower_cases(path):

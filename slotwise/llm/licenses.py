@@ -65,7 +65,8 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     template by name) and null without one; matches lists unit:template, comma-joined, in
     order.
 
-    All of it is one pass of row expressions: nothing is shuffled, so no key can be hot.
+    All of it is one pass of row expressions: nothing is shuffled, so no key can be hot. A very
+    long text is one row, whose bigrams are held at a time.
     Null and empty texts have no units that match. Repeated rows and null doc_ids come out as
     they come in; other columns are ignored; an empty table gives an empty result.
     """

@@ -81,7 +81,11 @@ class Model:
             return np.full(len(counts), self.prior)
         cosine = np.maximum(self._unit(self._weighed(counts) @ self.directions) @ self.vectors.T, 0)
         k = min(NEIGHBOURS, len(self.labels))
-        near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
+        # ties at the last place go to the labelled text that comes first
+        last = -np.partition(-cosine, k - 1, axis=1)[:, k - 1 : k]
+        above = cosine > last
+        tied = (cosine == last) & (np.cumsum(cosine == last, axis=1) <= k - above.sum(axis=1, keepdims=True))
+        near = np.nonzero(above | tied)[1].reshape(len(cosine), k)
         weight = np.take_along_axis(cosine, near, axis=1).astype(np.float64) ** SHARPNESS
         total = weight.sum(axis=1)
         return np.where(total > 0, (weight * self.labels[near]).sum(axis=1) / np.maximum(total, 1e-300), self.prior)
@@ -122,7 +126,9 @@ def quality_scores(docs: DataFrame, labels: DataFrame, label_col: str = "quality
     document's exact cosines with all of them are computed in blocks. The NEIGHBOURS nearest
     vote. Only the text is scored, the whole of it.
 
-    A null text is empty, and has a vector of its own. A null doc_id is in the fold of the
+    A null text is empty, and has a vector of its own. A very long text is counted whole, in
+    arrays of a few bytes a character. Ties for the last place among the neighbours go to the
+    labelled text that comes first. A null doc_id is in the fold of the
     empty text. Without any label, scores are a half. Repeated rows come out as they come in;
     other columns are ignored; an empty table gives an empty result.
     """

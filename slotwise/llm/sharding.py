@@ -33,6 +33,8 @@ def shard_rows(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_c
 
     size is the text's UTF-8 bytes plus 16, and null counts as no bytes (its CRC is 0; it is
     linked with empty texts). slot numbers the rows of a shard from 0 without gaps.
+    Ties, as of turns or of the commonest shard, go by hashes of pieces and rows. A very long
+    text is read once, for its size, CRC and hash, and isn't moved.
     grown_shard belongs to another law and is null. Null doc_ids and repeated rows are dealt
     like any other. An empty table gives an empty result; other columns are ignored.
     """

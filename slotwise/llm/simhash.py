@@ -192,7 +192,9 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     component_id is the smallest doc_id reachable. Copies meet by fingerprint before any
     comparison, so a group of equal fingerprints costs one row.
 
-    Null and empty texts have fingerprint zero and link like any other. A row with a null
+    Null and empty texts have fingerprint zero and link like any other. A very long text is
+    hashed whole, in bounded parts. A bit that exactly half of the hashes have is not set; equal
+    fingerprints (ties) are one point of the grid. A row with a null
     doc_id takes part; it is in no minimum (component_id is null if all are null). Repeated
     rows come out as often as they come in. Other columns are ignored; an empty table gives
     an empty result.
