@@ -11,6 +11,10 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 
 _scopes = threading.local()
+_lock, _inside, _before = threading.Lock(), [], []
+#: Whether Spark removes the shuffle files of a statement when it ends. Otherwise they stay until
+#: the driver's garbage is collected, long after what they led to is in a table.
+_TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,13 +36,33 @@ def shared_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
+@contextmanager
+def _tidied(spark: SparkSession) -> Iterator[None]:
+    """With ``_TIDY`` set; several threads may be within, and the last one out puts it back."""
+    with _lock:
+        if not _inside:
+            _before[:] = [spark.conf.get(_TIDY, None)]
+            spark.conf.set(_TIDY, "true")
+        _inside.append(1)
+    try:
+        yield
+    finally:
+        with _lock:
+            _inside.pop()
+            if not _inside:
+                spark.conf.unset(_TIDY) if _before[0] is None else spark.conf.set(_TIDY, _before[0])
+
+
 def cut(df: DataFrame, keep: bool = False) -> DataFrame:
     """The rows of ``df`` as a Parquet table in the shared folder: lineage ends there, so a
-    lost executor costs a reread and not a recomputation. ``keep``: beyond ``scratch``."""
+    lost executor costs a reread and not a recomputation. The shuffle files of the writing are
+    removed when it ends. ``keep``: beyond the innermost ``scratch``, to the end of the next one."""
     at = f"{shared_dir(df.sparkSession)}/slotwise-{uuid.uuid4().hex}"
-    df.write.parquet(at)
-    if not keep and (scopes := getattr(_scopes, "open", None)):
-        scopes[-1].append(at)
+    with _tidied(df.sparkSession):
+        df.write.parquet(at)
+    scopes = getattr(_scopes, "open", [])
+    for scope in scopes[-2:-1] if keep else scopes[-1:]:
+        scope.append(at)
     found = df.sparkSession.read.schema(df.schema).parquet(at)
     found._cut_at = at
     return found
