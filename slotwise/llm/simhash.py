@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, cut, keep_rows
+from .common import arrow_map, cut, keep_rows, scratch
 from .components import components
 
 #: A fingerprint has 32 segments of two bits; a segment's bit count is one coordinate.
@@ -206,13 +206,15 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, distance: int = 3) -> DataFrame:
     """The rows of ``docs``, whole, one of each group: that of the smallest doc_id (a null one
     if there is no other; of several texts with that doc_id, the one of the smallest hash)."""
-    return one_of_each(docs, cut(_grouped(docs, id_col, text_col, shingle, distance).select("doc_id", "h", "root")), id_col, text_col)
+    with scratch(docs.sparkSession):
+        return one_of_each(docs, cut(_grouped(docs, id_col, text_col, shingle, distance).select("doc_id", "h", "root")), id_col, text_col)
 
 
 def one_of_each(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The rows of ``docs``, whole, that are the first of their root in ``found`` (doc_id, h, root)."""
+    """The rows of ``docs``, whole, that are the first of their root in ``found`` (doc_id, h, root).
+    The result reads a table that is kept beyond the caller's ``scratch``, and not ``found``."""
     first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id").alias("id"), F.col("h").alias("h")))
-    kept = cut(found.groupBy("root").agg(first.alias("x")).select("x.id", "x.h"))
+    kept = cut(found.groupBy("root").agg(first.alias("x")).select("x.id", "x.h"), keep=True)
     again = found.where(F.col("doc_id").isNotNull()).groupBy("doc_id", "h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     repeated = not again.isEmpty() or not found.where("doc_id IS NULL").isEmpty()
     return keep_rows(docs, kept, repeated, id_col, text_col)
