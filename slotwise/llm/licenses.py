@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 
 from pyspark.sql import Column, DataFrame
@@ -54,6 +55,31 @@ def length(text: str) -> int:
     return len(re.sub(r"[\W_]+", " ", text.lower()).split())
 
 
+def signature(text: str, threshold: float = THRESHOLD) -> list[str]:
+    """Bigrams of a template of which every match has one at least.
+
+    Dice at least t asks for t / (2 - t) of the template's bigrams, so of one more than may be
+    missing, one is there. The longest are taken, as the rarest in other texts.
+    """
+    own = sorted(bigrams(text), key=lambda b: (-len(b), b))
+    least = max(1, math.ceil(threshold / (2 - threshold) * len(own) - 1e-9))
+    return own[: max(0, len(own) - least + 1)]
+
+
+def _any_of(pairs: list[str]) -> str:
+    """A pattern that finds any of the bigrams in a lower-case text with other characters than
+    letters and digits around it. Common beginnings are compared once."""
+
+    def branch(words: set[str]) -> str:
+        if len(words) == 1:
+            return next(iter(words))
+        tails = {c: {w[1:] for w in words if w[0] == c} for c in sorted({w[0] for w in words if w})}
+        each = "|".join(c + branch(rest) for c, rest in tails.items())
+        return f"(?:{each})" + ("?" if "" in words else "")
+
+    return r"[^\p{L}\p{N}]" + branch({b + " " for b in pairs}).replace(" ", r"[^\p{L}\p{N}]+") if pairs else "(?!)"
+
+
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_matches, license, dice, matches.
 
@@ -65,35 +91,47 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     template by name) and null without one; matches lists unit:template, comma-joined, in
     order.
 
-    All of it is one pass of row expressions: nothing is shuffled, so no key can be hot. A very
-    long text is one row, whose bigrams are held at a time.
+    All of it is one pass of row expressions: nothing is shuffled, so no key can be hot. Texts
+    and lines without a bigram of any template's ``signature`` cannot match, and their bigrams
+    aren't built. A very long text is one row, whose bigrams are held at a time.
     Null and empty texts have no units that match. Repeated rows and null doc_ids come out as
     they come in; other columns are ignored; an empty table gives an empty result.
     """
     named = sorted((templates or TEMPLATES).items())
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}\n]+", " ").alias("t"))
-    lines = rows.select("doc_id", "t", F.split("t", "\n").alias("lines"))
-    whole = F.when(F.size("lines") > 1, F.array(F.regexp_replace("t", "[ \n]+", " "))).otherwise(F.array().cast("array<string>"))
-    words = lines.select("doc_id", F.transform(F.concat("lines", whole), lambda u: F.split(F.trim(u), " ")).alias("words"))
-    sets = words.select("doc_id", "words", F.transform("words", _bigrams).alias("sets"))
-    low, high = threshold / (2 - threshold), (2 - threshold) / threshold
+    telling = _any_of(sorted({b for _, notice in named for b in signature(notice, threshold)}))
+    none = F.array().cast("array<string>")
+    blank = F.lit(" ")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.lower(F.concat(blank, text, blank)).alias("t"))
+    rows = rows.select("doc_id", F.when(F.col("t").rlike(telling), F.regexp_replace("t", r"[^\p{L}\p{N}\n]+", " ")).alias("t"))
+    lines = rows.select("doc_id", "t", F.when(F.col("t").isNull(), none).otherwise(F.split("t", "\n")).alias("lines"))
+    whole = F.when(F.size("lines") > 1, F.array(F.regexp_replace("t", "[ \n]+", " "))).otherwise(none)
+    units = lines.select("doc_id", F.transform(F.concat("lines", whole), lambda u: F.concat(blank, u, blank)).alias("units"))
+    split = lambda u: F.split(F.trim(u), " ")
+    sets = units.select(
+        "doc_id",
+        F.transform("units", split).alias("words"),
+        F.transform("units", lambda u: F.when(u.rlike(telling), _bigrams(split(u))).otherwise(none)).alias("sets"),
+    )
+    notices = _notices(named, threshold)
 
     def against(found: Column, unit: Column) -> Column:
-        rows = []
-        for k, (name, notice) in enumerate(named):
-            own = bigrams(notice)
-            n, common = F.size(found), F.size(F.array_intersect(found, F.array(*map(F.lit, own))))
-            dice = F.when((n >= low * len(own)) & (n <= high * len(own)), F.lit(2.0) * common / (n + F.lit(len(own))))
-            rows.append(F.struct(dice.alias("dice"), F.lit(-k).alias("k"), unit.alias("unit"), F.lit(name).alias("name")))
-        return F.filter(F.array(*rows), lambda x: x["dice"] >= threshold)
-
-    every = F.array(*map(F.lit, sorted({b for _, notice in named for b in bigrams(notice)})))
-    related = F.array_intersect(F.element_at("sets", -1), every)
-    hits = sets.select("doc_id", "words", F.flatten(F.transform("sets", against)).alias("hits"), related.alias("related"))
-    windows = F.concat(*(_windows(k, name, notice, threshold, low, high) for k, (name, notice) in enumerate(named)))
+        n = F.size(found)
+
+        def compared(x: Column) -> Column:
+            common = F.size(F.array_intersect(found, x["own"]))
+            dice = F.when((n >= x["low"]) & (n <= x["high"]), F.lit(2.0) * common / (n + x["n"]))
+            return F.struct(dice.alias("dice"), x["k"].alias("k"), unit.alias("unit"), x["name"].alias("name"))
+
+        return F.filter(F.transform(notices, compared), lambda x: x["dice"] >= threshold)
+
+    every = _pairs({b for _, notice in named for b in bigrams(notice)})
+    related = F.array_intersect(F.get("sets", F.size("sets") - 1), every)
+    near = F.filter(F.transform("sets", lambda found, unit: F.struct(found.alias("found"), unit.alias("unit"))), lambda x: F.size(x["found"]) > 0)
+    hits = sets.select("doc_id", "words", F.flatten(F.transform(near, lambda x: against(x["found"], x["unit"]))).alias("hits"), related.alias("related"))
+    windows = F.flatten(F.transform(notices, lambda x: _windows(x, threshold)))
     # a shorter list has no template's share of bigrams
-    fewest = low * min(len(bigrams(notice)) for _, notice in named)
+    fewest = threshold / (2 - threshold) * min(len(bigrams(notice)) for _, notice in named)
     hits = hits.withColumn("windows", F.when(F.size("related") >= fewest, windows).otherwise(F.array().cast(_WINDOWS)))
     hits = hits.withColumn("windows", F.when(F.size("windows") > 0, _apart(F.col("windows"), F.col("hits"), F.col("words"))).otherwise(F.col("windows")))
     key = lambda x: F.struct(x["dice"].alias("dice"), x["k"].alias("k"), x["name"].alias("name"))
@@ -112,21 +150,35 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 _WINDOWS = "array<struct<start:int,end:int,dice:double,k:int,name:string>>"
 
 
-def _windows(k: int, name: str, notice: str, threshold: float, low: float, high: float) -> Column:
-    """The windows of the whole text that match a template, from columns words and related."""
-    own, size, text = bigrams(notice), length(notice), F.element_at("words", -1)
-    members = F.array(*map(F.lit, own))
-    starts = F.filter(F.sequence(F.lit(0), F.size(text) - 2), lambda i: F.array_contains(members, F.concat_ws(" ", F.get(text, i), F.get(text, i + 1))))
+def _pairs(pairs: set[str]) -> Column:
+    return F.split(F.lit(",".join(sorted(pairs))), ",")
+
+
+def _notices(named: list[tuple[str, str]], threshold: float) -> Column:
+    """The templates, an array that the optimiser makes a constant."""
+    low, high = threshold / (2 - threshold), (2 - threshold) / threshold
+    rows = []
+    for k, (name, notice) in enumerate(named):
+        own = bigrams(notice)
+        values = {"k": -k, "name": name, "n": len(own), "low": low * len(own), "high": high * len(own), "size": length(notice)}
+        rows.append(F.struct(*(F.lit(v).alias(c) for c, v in values.items()), _pairs(set(own)).alias("own")))
+    return F.array(*rows)
+
+
+def _windows(x: Column, threshold: float) -> Column:
+    """The windows of the whole text that match template x, from columns words and related."""
+    text = F.element_at("words", -1)
+    starts = F.filter(F.sequence(F.lit(0), F.size(text) - 2), lambda i: F.array_contains(x["own"], F.concat_ws(" ", F.get(text, i), F.get(text, i + 1))))
 
     def window(i: Column) -> Column:
-        found = _bigrams(F.slice(text, i + 1, F.lit(size)))
+        found = _bigrams(F.slice(text, i + 1, x["size"]))
         # one value of the set for both of its uses
-        dice = F.transform(F.array(found), lambda x: F.when(F.size(x).between(low * len(own), high * len(own)), F.lit(2.0) * F.size(F.array_intersect(x, members)) / (F.size(x) + F.lit(len(own)))))
-        return F.struct(i.alias("start"), F.least(i + size, F.size(text)).alias("end"), F.get(dice, F.lit(0)).alias("dice"), F.lit(-k).alias("k"), F.lit(name).alias("name"))
+        dice = F.transform(F.array(found), lambda y: F.when(F.size(y).between(x["low"], x["high"]), F.lit(2.0) * F.size(F.array_intersect(y, x["own"])) / (F.size(y) + x["n"])))
+        return F.struct(i.alias("start"), F.least(i + x["size"], F.size(text)).alias("end"), F.get(dice, F.lit(0)).alias("dice"), x["k"].alias("k"), x["name"].alias("name"))
 
-    matching = F.filter(F.transform(starts, window), lambda x: x["dice"] >= threshold)
+    matching = F.filter(F.transform(starts, window), lambda y: y["dice"] >= threshold)
     # Dice at least t asks for that share of the template's bigrams
-    return F.when(F.size(F.array_intersect("related", members)) >= low * len(own), matching.cast(_WINDOWS)).otherwise(F.array().cast(_WINDOWS))
+    return F.when(F.size(F.array_intersect("related", x["own"])) >= x["low"], matching.cast(_WINDOWS)).otherwise(F.array().cast(_WINDOWS))
 
 
 def _apart(windows: Column, hits: Column, words: Column) -> Column:

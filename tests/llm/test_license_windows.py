@@ -1,6 +1,9 @@
 import random
 import textwrap
 
+import pytest
+import regex
+
 from slotwise.llm import licenses
 
 from .conftest import sentence
@@ -28,3 +31,26 @@ def test_notices_inside_longer_texts(spark):
         assert got[i]["license"] == (found[0][1] if found else None)
         places = [(int(at[1:]), name) for at, name in (x.split(":") for x in got[i]["matches"].split(",") if x)]
         assert [n for _, n in places] == [n for _, n in found] and all(abs(a - b) < 3 for (a, _), (b, _) in zip(places, found))
+
+
+@pytest.mark.parametrize("threshold", [0.5, 0.8, 1.0])
+def test_every_match_has_a_telling_bigram(threshold):
+    rng = random.Random(5)
+    for notice in [*licenses.TEMPLATES.values(), "one two three four", "one two", "one", ""]:
+        own, telling = licenses.bigrams(notice), set(licenses.signature(notice, threshold))
+        assert telling <= set(own) and bool(telling) == bool(own)
+        for _ in range(200):
+            found = set(rng.sample(own, rng.randint(0, len(own))))
+            if own and 2 * len(found) >= threshold * (len(found) + len(own)):
+                assert found & telling
+        # all but the telling ones are too few to match
+        assert not own or 2 * len(set(own) - telling) < threshold * (2 * len(own) - len(telling))
+
+
+def test_telling_bigrams_are_found_as_whole_words():
+    pattern = regex.compile(licenses._any_of(["mit license", "mit licenses", "the mit", "bsd 3"]))
+    for text in (" mit license ", " (mit)\n# license: ", " a mit\t-- licenses. ", " the mit\n", " bsd-3 "):
+        assert pattern.search(text)
+    for text in (" mitlicense ", " emit license ", " mit licensed ", " mit the license ", " bsd 35 ", "", " "):
+        assert not pattern.search(text)
+    assert not regex.search(licenses._any_of([]), " the mit license ")
