@@ -33,9 +33,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     read alike when it is read again, as a table does.
     """
     narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
-    runs, own = _runs(narrow, "id", "t", range_bytes, normalise)
+    dealt, own, k, total, _ = _dealt(narrow, "id", "t", range_bytes, normalise)
     found = cut(
-        runs.select(
+        _runs(dealt, own, k, total, range_bytes).select(
             F.col("id").alias("doc_id"),
             F.col(own("keep")).alias("keep_id"),
             F.col(own("n")).alias("group_size"),
@@ -56,23 +56,28 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", range_bytes: int = RANGE_BYTES, normalise: Callable[[Column], Column] | None = None) -> DataFrame:
     """The rows of ``docs``, whole, that ``exact_dedup`` keeps: one for each distinct text.
 
-    Rows move once, whole, in the content sort, and the head of each run goes out. Nulls,
+    Rows move once, whole, in the content sort, and the head of each run goes out. Only the
+    heads of texts too heavy for one task are cut to a table, where they meet again. Nulls,
     ties, repeated rows, very long texts and empty tables are as in ``exact_dedup``; columns
     keep their names, types and order, whatever the names.
     """
-    runs, own = _runs(docs, id_col, text_col, range_bytes, normalise)
-    heads = cut(runs.where(own("head")))
-    best = _merged(heads.where(own("heavy")), own("key"), own("keep"), own("row"), own("n"))
-    best = cut(best.select(F.col("best.row").alias(own("best"))))
-    heavy = heads.where(own("heavy")).join(best, F.col(own("row")) == F.col(own("best")), "left_semi")
+    dealt, own, k, total, heavy = _dealt(docs, id_col, text_col, range_bytes, normalise)
     text = F.when(~F.col(own("null")), F.col(f"`{text_col}`"))
     columns = [text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
-    return heads.where(~F.col(own("heavy"))).union(heavy).select(columns)
+    bulk = heavy.agg(F.sum("b")).first()[0] or 0
+    light = _runs(dealt.where(~F.col(own("heavy"))), own, k, total - bulk, range_bytes).where(own("head")).select(columns)
+    if not bulk:
+        return light
+    heads = cut(_runs(dealt.where(own("heavy")), own, k, bulk, range_bytes).where(own("head")))
+    best = _merged(heads, own("key"), own("keep"), own("row"), own("n"))
+    best = cut(best.select(F.col("best.row").alias(own("best"))))
+    return light.union(heads.join(best, F.col(own("row")) == F.col(own("best")), "left_semi").select(columns))
 
 
-def _runs(docs: DataFrame, id_col: str, text_col: str, range_bytes: int, normalise: Callable[[Column], Column] | None) -> tuple[DataFrame, Callable[[str], str]]:
+def _dealt(docs: DataFrame, id_col: str, text_col: str, range_bytes: int, normalise: Callable[[Column], Column] | None) -> tuple[DataFrame, Callable[[str], str], str, int, DataFrame]:
     """The rows of ``docs``, the text without nulls, and columns named by the second result:
-    key (what is compared), null, row, heavy, head, keep and n (of the run)."""
+    id, null, row, heavy, and p, h and s, by which ranges are dealt. Then the column that is
+    compared, the bytes of all texts, and (h, b), the bytes of each heavy one."""
     own = private(docs.columns)
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     key = normalise(text) if normalise else text
@@ -81,19 +86,26 @@ def _runs(docs: DataFrame, id_col: str, text_col: str, range_bytes: int, normali
     total = sizes.agg(F.sum("b")).first()[0] or 0
     # what one task may hold of one text; texts of more are at most 2^20, or 2^10 in small tables
     most = max(1, total >> 20, min(range_bytes // 4, total >> 10))
-    heavy = sizes.where(F.col("b") > most).select(F.col("h").alias(own("h")), F.ceil(F.col("b") / most).alias(own("parts")))
+    heavy = sizes.where(F.col("b") > most)
+    parts = heavy.select(F.col("h").alias(own("h")), F.ceil(F.col("b") / most).alias(own("parts")))
     named = {text_col: text, own("null"): F.col(f"`{text_col}`").isNull(), own("id"): F.col(f"`{id_col}`").cast("long"), own("row"): F.monotonically_increasing_id(), own("h"): F.xxhash64(key)}
     rows = docs.withColumns(named | ({own("text"): key} if normalise else {}))
     k = own("text") if normalise else f"`{text_col}`"
-    dealt = rows.join(F.broadcast(heavy), own("h"), "left")
+    dealt = rows.join(F.broadcast(parts), own("h"), "left")
     part = F.when(F.col(own("parts")).isNotNull(), F.pmod(F.xxhash64(own("row")), own("parts"))).otherwise(0)
     dealt = dealt.withColumns({own("p"): F.substring(k, 1, LEADING), own("s"): part, own("heavy"): F.col(own("parts")).isNotNull()}).drop(own("parts"))
+    return dealt, own, k, total, heavy
+
+
+def _runs(dealt: DataFrame, own: Callable[[str], str], k: str, total: int, range_bytes: int) -> DataFrame:
+    """``dealt`` in sorted ranges, with columns named by ``own``: key (what is compared), head,
+    keep and n (of the run). ``total``: bytes of its texts."""
     ranges = [own("p"), own("h"), own("s")]
     run = Window.partitionBy(*ranges, k).orderBy(F.col(own("id")).desc_nulls_last(), own("row"))
     every = run.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     sorted_ = dealt.repartitionByRange(max(1, -(-total // range_bytes)), *ranges)
     found = {own("head"): F.row_number().over(run) == 1, own("keep"): F.first(own("id")).over(every), own("n"): F.count(F.lit(1)).over(every)}
-    return sorted_.withColumns(found).withColumn(own("key"), F.col(k)), own
+    return sorted_.withColumns(found).withColumn(own("key"), F.col(k))
 
 
 def _merged(heads: DataFrame, key: str, keep: str, row: str, n: str) -> DataFrame:

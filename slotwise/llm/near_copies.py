@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import arrow_map, cut, scratch
+from .common import Sieve, arrow_map, cut, scratch
 from .components import components
 
 #: Words in a shingle, and the least Jaccard similarity of the shingle sets of near copies.
@@ -89,6 +89,8 @@ def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     least of its cell, which joins a large group of near copies by one check a text. Then the
     members of cells that still hold different groups are compared in blocks, all of them,
     without writing pairs out. Only links that the sets of the whole texts confirm count.
+    Texts move if they are candidates, whole rows if their group has others, and of the rest
+    the few that a sieve lets pass.
 
     A very long text is hashed in bounded parts, and its set (8 bytes a word) is one value. An
     empty table gives an empty result. Columns keep their names, whatever these are.
@@ -123,8 +125,9 @@ def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         shared = cut(cells.join(sizes, "cell"))
         pairs = shared.select(F.col("least").alias("a"), F.col("h").alias("b")).union(same).union(near).where("a <> b")
         pairs = cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-        wanted = pairs.select(F.col("a").alias("h")).union(pairs.select("b")).distinct()
-        sets = cut(_sets(rows.select("h", "t").join(wanted, "h", "left_semi").dropDuplicates(["h"]), shingle))
+        wanted = cut(pairs.select(F.col("a").alias("h")).union(pairs.select("b")).distinct())
+        passed, _ = Sieve(wanted).parted(rows.select("h", "t"), F.col("h"))  # only these move
+        sets = cut(_sets(passed.join(wanted, "h", "left_semi").dropDuplicates(["h"]), shingle))
         links = cut(_confirmed(pairs, sets, jaccard))
 
         grouped = cut(shared.join(components(links).withColumnRenamed("node", "h"), "h", "left").select("cell", "h", F.coalesce("root", "h").alias("root")))

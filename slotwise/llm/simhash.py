@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, cut, keep_rows, scratch
+from .common import Sieve, arrow_map, cut, keep_rows, scratch
 from .components import components
 
 #: A fingerprint has 32 segments of two bits; a segment's bit count is one coordinate.
@@ -212,12 +212,18 @@ def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 def one_of_each(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The rows of ``docs``, whole, that are the first of their root in ``found`` (doc_id, h, root).
-    The result reads a table that is kept beyond the caller's ``scratch``, and not ``found``."""
+    A row alone in its group stays where it is; the others, and those that a sieve of their
+    hashes lets pass beside them, are moved once. The result reads tables that are kept beyond
+    the caller's ``scratch``, and not ``found``."""
     first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id").alias("id"), F.col("h").alias("h")))
-    kept = cut(found.groupBy("root").agg(first.alias("x")).select("x.id", "x.h"), keep=True)
-    again = found.where(F.col("doc_id").isNotNull()).groupBy("doc_id", "h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    repeated = not again.isEmpty() or not found.where("doc_id IS NULL").isEmpty()
-    return keep_rows(docs, kept, repeated, id_col, text_col)
+    groups = cut(found.groupBy("root").agg(first.alias("x"), F.count(F.lit(1)).alias("n")))
+    several = cut(found.join(groups.where("n > 1").select("root"), "root", "left_semi").select("doc_id", "h"))
+    again = several.where(F.col("doc_id").isNotNull()).groupBy("doc_id", "h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    repeated = not again.isEmpty() or not several.where("doc_id IS NULL").isEmpty()
+    sieve = Sieve(several, keep=True)
+    kept, _ = sieve.parted(groups.select("x.id", "x.h"), F.col("h"))
+    passed, alone = sieve.parted(docs, F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))))
+    return alone.union(keep_rows(passed, cut(kept, keep=True), repeated, id_col, text_col))
 
 
 def _grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, distance: int) -> DataFrame:
